@@ -1,0 +1 @@
+"""The engine is batch-only, so this package holds no operators."""
