@@ -29,12 +29,11 @@ def fill_weeks(weekly: DataFrame, keys: list[str], measures: list[str]) -> DataF
     """
     following = F.lead("week_end").over(Window.partitionBy(*keys).orderBy("week_end"))
     last = F.coalesce(F.date_sub(following, 7), F.col("week_end"))
-    every_week = F.sequence("week_end", last, F.expr("interval 7 days"))
-    return weekly.select(
-        *keys,
-        F.posexplode(every_week).alias("_gap", "_label"),
-        *measures,
-    ).select(
+    every_week = F.sequence("week_end", "_last", F.expr("interval 7 days"))
+    exploded = weekly.withColumn("_last", last).select(
+        *keys, F.posexplode(every_week).alias("_gap", "_label"), *measures
+    )
+    return exploded.select(
         *keys,
         F.col("_label").alias("week_end"),
         *[F.when(F.col("_gap") == 0, F.col(m)).otherwise(F.lit(0).cast("bigint")).alias(m) for m in measures],
