@@ -285,3 +285,32 @@ ORACLES["seasonal_cross_products"] = f"""WITH {DIFFERENCED},
       FROM lags GROUP BY ALL
     )
     {" UNION ALL ".join(f"SELECT hotspot_id_x, hotspot_id_y, n_obs, {k} AS term, coalesce(s{k}, 0) AS total FROM totals" for k in range(6))}"""
+
+POINTS = """
+points AS (
+  SELECT event_id AS id, value AS x, CAST(json_extract(props, '$.k') AS DOUBLE) AS y FROM events
+)"""
+
+
+def _kdist(k: int) -> str:
+    """CTE kdist(id, k_dist) by brute force over all pairs."""
+    return POINTS + f""",
+kdist AS (
+  SELECT a.id, sqrt(list_last(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), {k}))) AS k_dist
+  FROM points a, points b GROUP BY a.id
+)"""
+
+
+ORACLES["knn_kdist"] = f"WITH {_kdist(64)} SELECT * FROM kdist"
+ORACLES["nearest_other"] = f"WITH {_kdist(2)} SELECT * FROM kdist"
+ORACLES["density_levels"] = f"""WITH {_kdist(64)},
+    ordered AS (
+      SELECT id, k_dist, row_number() OVER s - 1 AS rank, lead(k_dist) OVER s - k_dist AS variation,
+             (lead(k_dist) OVER s - lag(k_dist, 499) OVER s) / 500 AS mean
+      FROM kdist WINDOW s AS (ORDER BY k_dist, id)
+    ),
+    smooth AS (
+      SELECT rank, id, variation, CASE WHEN rank < 499 THEN variation ELSE mean END AS smoothed
+      FROM ordered WHERE variation IS NOT NULL
+    )
+    SELECT *, smoothed <= (SELECT quantile_cont(smoothed, 0.73) FROM smooth) AS in_level FROM smooth"""

@@ -5,7 +5,17 @@ from pyspark.sql import functions as F
 
 from cellweek.catalog import views
 from cellweek.functions import holidays, scalars
-from cellweek.operators import clean, grid, holiday_join, requests, rollout, seasonal, weekly
+from cellweek.operators import (
+    clean,
+    density,
+    grid,
+    holiday_join,
+    nearest,
+    requests,
+    rollout,
+    seasonal,
+    weekly,
+)
 from cellweek.schema import INCIDENT_SCHEMA, SEASON_GRID
 from cellweek.sources import incidents as io
 from cellweek.sources.scratch import materialize, scratch_path
@@ -258,6 +268,19 @@ def csv_parquet_roundtrip(spark, folder):
     )
 
 
+def knn_kdist(spark, folder):
+    return nearest.k_distance(views.points(spark, folder)).select("id", "k_dist")
+
+
+def nearest_other(spark, folder):
+    return nearest.nearest_other(views.points(spark, folder))
+
+
+def density_levels(spark, folder):
+    k_dist = nearest.k_distance(views.points(spark, folder))
+    return density.density_levels(k_dist, s=500).select("rank", "id", "variation", "smoothed", "in_level")
+
+
 QUERIES = {
     f.__name__: f
     for f in [
@@ -295,5 +318,8 @@ QUERIES = {
         forecast_report_json,
         forecast_report_weeks,
         csv_parquet_roundtrip,
+        knn_kdist,
+        nearest_other,
+        density_levels,
     ]
 }
