@@ -314,3 +314,47 @@ ORACLES["density_levels"] = f"""WITH {_kdist(64)},
       FROM ordered WHERE variation IS NOT NULL
     )
     SELECT *, smoothed <= (SELECT quantile_cont(smoothed, 0.73) FROM smooth) AS in_level FROM smooth"""
+
+# eps 1.25 and min_pts 10, as in the queries. The recursion keeps one row per core point and
+# lowers its component until nothing changes.
+LABELS = POINTS + """,
+near AS MATERIALIZED (
+  SELECT a.id, b.id AS other FROM points a, points b
+  WHERE abs(a.y - b.y) <= 1.25
+    AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= CAST(1.25 AS DOUBLE) * CAST(1.25 AS DOUBLE)
+),
+core AS MATERIALIZED (SELECT id FROM near GROUP BY id HAVING count(*) >= 10),
+links AS MATERIALIZED (SELECT id, other FROM near SEMI JOIN core USING (id) WHERE other IN (SELECT id FROM core)),
+comp(id, root) USING KEY (id) AS (
+  SELECT id, id FROM core
+  UNION
+  SELECT l.other, min(c.root) FROM comp c JOIN links l ON l.id = c.id
+       JOIN recurring.comp o ON o.id = l.other
+  WHERE c.root < o.root GROUP BY l.other
+),
+numbered AS (
+  SELECT id, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM comp
+),
+labels AS (
+  SELECT p.id, CAST(coalesce(min(own.cluster), min(c.cluster), -1) AS INTEGER) AS cluster
+  FROM points p LEFT JOIN numbered own ON own.id = p.id
+       LEFT JOIN near n ON n.id = p.id LEFT JOIN numbered c ON c.id = n.other
+  GROUP BY p.id
+),
+labelled AS (SELECT * FROM points JOIN labels USING (id))"""
+
+ORACLES["dbscan_labels"] = f"WITH RECURSIVE {LABELS} SELECT id, cluster FROM labels"
+ORACLES["cluster_summary"] = f"""WITH RECURSIVE {LABELS}
+    SELECT CAST(cluster AS BIGINT) AS id, round(avg(y), 6) AS lat, round(avg(x), 6) AS lon, count(*) AS crime_count
+    FROM labelled WHERE cluster <> -1 GROUP BY cluster"""
+ORACLES["cluster_pages"] = f"""WITH RECURSIVE {LABELS},
+    placed AS (
+      SELECT cluster, y, x, row_number() OVER (PARTITION BY cluster ORDER BY id) - 1 AS rank,
+             count(*) OVER (PARTITION BY cluster) AS crime_count
+      FROM labelled WHERE cluster <> -1)
+    SELECT CAST(cluster AS BIGINT) AS id, rank // 100 AS page, crime_count, rank % 100 AS place, y AS lat, x AS lon
+    FROM placed"""
+ORACLES["cluster_counts"] = f"WITH RECURSIVE {LABELS} SELECT cluster, count(*) AS n FROM labels GROUP BY cluster"
+ORACLES["cluster_totals"] = f"""WITH RECURSIVE {LABELS}
+    SELECT count(DISTINCT cluster) FILTER (WHERE cluster <> -1) AS n_clusters,
+           count(*) FILTER (WHERE cluster = -1) AS n_noise FROM labels"""

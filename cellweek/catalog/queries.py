@@ -7,6 +7,8 @@ from cellweek.catalog import views
 from cellweek.functions import holidays, scalars
 from cellweek.operators import (
     clean,
+    clusters,
+    dbscan,
     density,
     grid,
     holiday_join,
@@ -281,6 +283,45 @@ def density_levels(spark, folder):
     return density.density_levels(k_dist, s=500).select("rank", "id", "variation", "smoothed", "in_level")
 
 
+EPS, MIN_PTS = 1.25, 10
+
+
+def _labelled(spark, folder):
+    rows = views.points(spark, folder)
+    labels = materialize(dbscan.dbscan(rows, EPS, MIN_PTS))
+    return clusters.attach_labels(rows, labels)
+
+
+def dbscan_labels(spark, folder):
+    return dbscan.dbscan(views.points(spark, folder), EPS, MIN_PTS)
+
+
+def cluster_summary(spark, folder):
+    return clusters.cluster_summary(_labelled(spark, folder), "y", "x").select(
+        "id", F.round("centroid.lat", 6).alias("lat"), F.round("centroid.lon", 6).alias("lon"), "crime_count"
+    )
+
+
+def cluster_pages(spark, folder):
+    report = clusters.cluster_report(_labelled(spark, folder), "y", "x", page_size=100)
+    return report.select("id", "page", "crime_count", F.posexplode("points").alias("place", "point")).select(
+        "id", "page", "crime_count", F.col("place").cast("bigint").alias("place"),
+        F.col("point.Latitude").alias("lat"), F.col("point.Longitude").alias("lon"),
+    )
+
+
+def cluster_report_json(spark, folder):
+    return requests.as_json(clusters.cluster_report(_labelled(spark, folder), "y", "x"))
+
+
+def cluster_counts(spark, folder):
+    return clusters.label_counts(_labelled(spark, folder))
+
+
+def cluster_totals(spark, folder):
+    return clusters.label_totals(_labelled(spark, folder))
+
+
 QUERIES = {
     f.__name__: f
     for f in [
@@ -321,5 +362,11 @@ QUERIES = {
         knn_kdist,
         nearest_other,
         density_levels,
+        dbscan_labels,
+        cluster_summary,
+        cluster_pages,
+        cluster_report_json,
+        cluster_counts,
+        cluster_totals,
     ]
 }

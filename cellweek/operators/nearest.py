@@ -8,11 +8,14 @@ from cellweek.operators.skew import lookup_join
 from cellweek.operators.tiles import (
     BOX,
     FANOUT,
+    ancestors,
     distinct_sites,
     farthest_squared,
+    height_of,
+    leaf_nodes,
     nearest_squared,
+    nodes_at,
     tile_sites,
-    tree_levels,
 )
 from cellweek.schema import NEIGHBOURS
 from cellweek.sources.scratch import materialize
@@ -21,6 +24,8 @@ from cellweek.sources.scratch import materialize
 # splits the work and drops no candidate.
 SPLIT_ABOVE = 64
 
+TILES_PER_TASK = 500
+
 QUERY = ["q_i", "q_j", "q_site"]
 
 
@@ -32,7 +37,7 @@ def _prune(frontier: DataFrame, k: int) -> DataFrame:
     """Drop nodes that cannot hold one of the k nearest points of their query box.
 
     The bound of a query is the smallest radius at which wholly covered nodes already hold
-    k points.
+    k points. _width is the number of nodes a query keeps.
     """
     measured = frontier.withColumns(
         {"_near": nearest_squared("q_", "r_"), "_far": farthest_squared("q_", "r_")}
@@ -45,22 +50,15 @@ def _prune(frontier: DataFrame, k: int) -> DataFrame:
         .withColumn("_bound", bound)
         .where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound")))
         .drop("_near", "_far", "_covered", "_bound")
+        .withColumn("_width", F.count(F.lit(1)).over(Window.partitionBy(*QUERY)))
     )
 
 
 def _split_wide(frontier: DataFrame, sites: DataFrame, k: int) -> DataFrame:
     """Replace query boxes that kept too many nodes by their sites, and prune those again."""
-    wide = (
-        frontier.where(F.col("q_site").isNull())
-        .groupBy("q_i", "q_j")
-        .count()
-        .where(F.col("count") > SPLIT_ABOVE)
-        .select("q_i", "q_j", F.lit(True).alias("_wide"))
-    )
-    if wide.isEmpty():
+    wide = F.col("q_site").isNull() & (F.col("_width") > SPLIT_ABOVE)
+    if frontier.where(wide).isEmpty():
         return frontier
-    marked = materialize(lookup_join(frontier, wide, ["q_i", "q_j"], "left"))
-    hot = F.col("_wide") & F.col("q_site").isNull()
     members = sites.select(
         F.col("slab").alias("q_i"),
         F.col("tile").alias("q_j"),
@@ -71,27 +69,28 @@ def _split_wide(frontier: DataFrame, sites: DataFrame, k: int) -> DataFrame:
         F.col("y").alias("q_max_y"),
     )
     nodes = [c for c in frontier.columns if c.startswith("r_")]
-    single = marked.where(hot).select("q_i", "q_j", *nodes).join(members, ["q_i", "q_j"])
-    kept = marked.where(F.coalesce(~hot, F.lit(True))).drop("_wide")
-    return materialize(kept.unionByName(_prune(single.select(*frontier.columns), k)))
+    single = frontier.where(wide).select("q_i", "q_j", *nodes).join(members, ["q_i", "q_j"])
+    pruned = materialize(_prune(single, k).select(*frontier.columns))
+    return frontier.where(~wide).unionByName(pruned)
 
 
-def _leaf_candidates(tiled: DataFrame, k: int) -> DataFrame:
+def _leaf_candidates(tiled: DataFrame, extent: list[int], k: int) -> DataFrame:
     """Pairs of query (box or single site) and leaf that may hold one of its k nearest."""
-    levels = tree_levels(tiled)
-    node = ["i", "j", "n", *BOX]
-    queries = _prefixed(levels[-1], "q_", ["i", "j", *BOX]).withColumn("q_site", F.lit(None).cast("bigint"))
-    frontier = queries.withColumns({"r_i": F.lit(0).cast("bigint"), "r_j": F.lit(0).cast("bigint")})
-    for nodes in levels[1:]:
-        children = _prefixed(nodes, "r_", node).withColumns(
+    leaves = materialize(leaf_nodes(tiled))
+    frontier = _prefixed(leaves, "q_", ["i", "j", *BOX]).withColumns(
+        {c: F.lit(None).cast("bigint") for c in ["q_site"]} | {c: F.lit(0).cast("bigint") for c in ["r_i", "r_j"]}
+    )
+    for level in reversed(range(height_of(extent))):
+        children = _prefixed(ancestors(leaves, level), "r_", ["i", "j", "n", *BOX]).withColumns(
             {"p_i": F.floor(F.col("r_i") / FANOUT), "p_j": F.floor(F.col("r_j") / FANOUT)}
         )
-        parents = (
-            frontier.withColumnRenamed("r_i", "p_i").withColumnRenamed("r_j", "p_j")
-            .select("p_i", "p_j", *QUERY, *["q_" + b for b in BOX])
+        parents = frontier.select(
+            F.col("r_i").alias("p_i"), F.col("r_j").alias("p_j"), *QUERY, *["q_" + b for b in BOX]
         )
         expanded = parents.join(children, ["p_i", "p_j"]).drop("p_i", "p_j")
-        frontier = _split_wide(materialize(_prune(expanded, k)), tiled, k)
+        frontier = _prune(expanded, k)
+        if level == 0 or nodes_at(extent, level) > SPLIT_ABOVE:
+            frontier = _split_wide(materialize(frontier), tiled, k)
     return frontier.select(*QUERY, "q_min_x", "q_min_y", "r_i", "r_j")
 
 
@@ -125,13 +124,16 @@ def site_distances(sites: DataFrame, k: int, tile: int | None = None) -> DataFra
 
     Sites with fewer than k points in total have no row.
     """
-    tiled = tile_sites(sites, tile or max(32, 2 * k))
-    candidates = materialize(_leaf_candidates(tiled, k))
+    tiled, extent = tile_sites(sites, tile or max(32, k))
+    candidates = _leaf_candidates(tiled, extent, k)
     members = tiled.select(F.col("slab").alias("r_i"), F.col("tile").alias("r_j"), "x", "y", "n", "site")
     boxed = candidates.where(F.col("q_site").isNull()).join(members, ["r_i", "r_j"])
     own = (F.col("q_i") == F.col("r_i")) & (F.col("q_j") == F.col("r_j"))
+    # Rows are few but each tile costs Python time, so the task count follows the tiles.
+    tasks = max(sites.sparkSession.sparkContext.defaultParallelism, nodes_at(extent, 0) // TILES_PER_TASK)
     from_tiles = (
         boxed.select("q_i", "q_j", "x", "y", "n", own.alias("own"))
+        .repartition(tasks, "q_i", "q_j")
         .groupBy("q_i", "q_j")
         .applyInPandas(_tile_distances(k), "x double, y double, d2 double")
     )

@@ -53,14 +53,16 @@ def lookup_join(
     keys: list[str],
     how: str = "inner",
     limit: int = BROADCAST_ROWS,
+    stored: bool = False,
 ) -> DataFrame:
     """Join facts to a lookup table, by broadcast only if its counted size allows it.
 
-    The lookup is written once, so that counting it and joining it read the same table.
+    The lookup is written once, unless it already is a stored table, so that counting it and
+    joining it read the same rows.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    table = materialize(lookup)
+    table = lookup if stored else materialize(lookup)
     if table.count() <= limit:
         return facts.join(F.broadcast(table), keys, how)
     return salted_join(facts, table, keys, how)

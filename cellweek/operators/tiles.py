@@ -27,15 +27,19 @@ def distinct_sites(points: DataFrame) -> DataFrame:
     )
 
 
-def tile_sites(sites: DataFrame, size: int) -> DataFrame:
-    """Adds slab and tile. Two range shuffles; slab sizes are multiples of the tile size."""
+def tile_sites(sites: DataFrame, size: int) -> tuple[DataFrame, list[int]]:
+    """Adds slab and tile, and returns the largest extent of the tile grid in both directions.
+
+    Two range shuffles; slab sizes are multiples of the tile size.
+    """
     sites = materialize(sites)
     total = sites.count()
-    per_slab = max(1, round((total / size) ** 0.5)) * size
+    height = max(1, round((total / size) ** 0.5))
+    per_slab = height * size
     by_x = global_rank(sites, ["x", "y"], "_rx").withColumn("slab", F.floor(F.col("_rx") / per_slab))
     by_y = global_rank(by_x.drop("_rx"), ["slab", "y", "x"], "_ry")
     tile = F.floor((F.col("_ry") - F.col("slab") * per_slab) / size)
-    return materialize(by_y.withColumn("tile", tile).drop("_ry"))
+    return by_y.withColumn("tile", tile).drop("_ry"), [-(-total // per_slab), height]
 
 
 def leaf_nodes(tiled: DataFrame) -> DataFrame:
@@ -48,8 +52,12 @@ def leaf_nodes(tiled: DataFrame) -> DataFrame:
     )
 
 
-def parent_nodes(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy(F.floor(F.col("i") / FANOUT).alias("i"), F.floor(F.col("j") / FANOUT).alias("j")).agg(
+def ancestors(leaves: DataFrame, levels_up: int) -> DataFrame:
+    """Nodes some levels above the leaves; the leaves themselves for zero."""
+    if levels_up == 0:
+        return leaves
+    width = FANOUT**levels_up
+    return leaves.groupBy(F.floor(F.col("i") / width).alias("i"), F.floor(F.col("j") / width).alias("j")).agg(
         F.sum("n").alias("n"),
         F.min("min_x").alias("min_x"),
         F.max("max_x").alias("max_x"),
@@ -58,16 +66,20 @@ def parent_nodes(nodes: DataFrame) -> DataFrame:
     )
 
 
-def tree_levels(tiled: DataFrame) -> list[DataFrame]:
-    """Node tables from the single root down to the leaves."""
-    level = materialize(leaf_nodes(tiled))
-    levels = [level]
-    while level.limit(2).count() > 1:
-        level = materialize(parent_nodes(level))
-        levels.insert(0, level)
+def height_of(extent: list[int]) -> int:
+    """Levels between the single root and the leaves."""
+    levels = 0
+    while any(FANOUT**levels < e for e in extent):
+        levels += 1
     return levels
 
 
+def nodes_at(extent: list[int], levels_up: int) -> int:
+    """Upper bound of the number of nodes on a level."""
+    width = FANOUT**levels_up
+    return -(-extent[0] // width) * -(-extent[1] // width)
+
+
 def nearest_squared(a: str, b: str) -> Column:
     """Smallest squared distance between any two points of two boxes.
 
