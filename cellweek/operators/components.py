@@ -3,14 +3,14 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweek.operators.skew import lookup_join
+from cellweek.operators.skew import BROADCAST_ROWS, salted_join
 from cellweek.sources.scratch import materialize
 
 
-def _follow(df: DataFrame, column: str, parents: DataFrame) -> DataFrame:
+def _follow(df: DataFrame, column: str, parents: DataFrame, small: bool) -> DataFrame:
     """Replace a node column by its parent where it has one."""
     step = parents.select(F.col("node").alias(column), F.col("parent").alias("_parent"))
-    moved = lookup_join(df, step, [column], "left", stored=True)
+    moved = df.join(F.broadcast(step), [column], "left") if small else salted_join(df, step, [column], "left")
     return moved.withColumn(column, F.coalesce("_parent", F.col(column))).drop("_parent").select(*df.columns)
 
 
@@ -22,17 +22,27 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     least halves and the number of rounds is logarithmic. The minima are combined on the map
     side and the lookups cut hot nodes, so a hub with most of the edges is no bottleneck.
     """
-    found = nodes.select("node", F.col("node").alias("root"))
     left = materialize(edges.where("a <> b").select("a", "b").distinct())
-    while not left.isEmpty():
-        both = left.select("a", "b").unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = materialize(
+    n_edges = left.count()
+    rounds = []
+    while n_edges > 0:
+        # A graph has at most twice as many nodes as edges, which bounds the broadcast.
+        small = 2 * n_edges <= BROADCAST_ROWS
+        both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = (
             both.groupBy(F.col("a").alias("node"))
             .agg(F.min("b").alias("parent"))
             .withColumn("parent", F.least("node", "parent"))
         )
-        parents = materialize(_follow(_follow(hooks, "parent", hooks), "parent", hooks))
-        found = materialize(_follow(found, "root", parents))
-        moved = _follow(_follow(left, "a", parents), "b", parents)
+        if not small:
+            hooks = materialize(hooks)
+        twice = _follow(_follow(hooks, "parent", hooks, small), "parent", hooks, small)
+        parents = materialize(twice)
+        rounds.append((parents, small))
+        moved = _follow(_follow(left, "a", parents, small), "b", parents, small)
         left = materialize(moved.where("a <> b").distinct())
-    return found
+        n_edges = left.count()
+    found = nodes.select("node", F.col("node").alias("root"))
+    for parents, small in rounds:
+        found = _follow(found, "root", parents, small)
+    return materialize(found)

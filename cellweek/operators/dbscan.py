@@ -55,11 +55,41 @@ def _box() -> list[Column]:
     return [f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))]
 
 
-def _tips() -> Column:
-    """Eight extreme sites of a cell, to find most links between dense cells at once."""
+def _boxes(sites: DataFrame, side: float) -> DataFrame:
+    """Counts and extents of the sub-boxes of every cell, and two of their sites.
+
+    All cell figures follow from these boxes, so the sites are aggregated only once.
+    """
     at = F.struct("x", "y")
-    keys = [F.col("x"), F.col("y"), F.col("x") + F.col("y"), F.col("x") - F.col("y")]
-    return F.array(*[f(at, k) for k in keys for f in (F.min_by, F.max_by)])
+    return (
+        sites.withColumns({"bx": _index("x", side / SUB), "by": _index("y", side / SUB)})
+        .groupBy(*SUBBOX)
+        .agg(
+            F.sum("n").alias("box_n"),
+            F.min("site").alias("box_site"),
+            *_box(),
+            F.min(at).alias("low"),
+            F.max(at).alias("high"),
+        )
+    )
+
+
+def _dense_cells(boxes: DataFrame, min_pts: int) -> DataFrame:
+    """Cells with at least min_pts points. tips holds real sites of all their boxes.
+
+    A cell has at most (SUB + 1)^2 boxes, so the array is bounded.
+    """
+    return (
+        boxes.groupBy(*CELL)
+        .agg(
+            F.sum("box_n").alias("cell_n"),
+            F.min("box_site").alias("label"),
+            *[F.min(c).alias(c) for c in ("min_x", "min_y")],
+            *[F.max(c).alias(c) for c in ("max_x", "max_y")],
+            F.flatten(F.collect_list(F.array("low", "high"))).alias("tips"),
+        )
+        .where(F.col("cell_n") >= min_pts)
+    )
 
 
 def _d2(a, b) -> Column:
@@ -99,33 +129,23 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     return forth.unionByName(back)
 
 
-def _touches(sites: DataFrame, sparse: DataFrame, dense: DataFrame, pairs: DataFrame, eps2: float, min_pts: int, side: float):
+def _touches(sites, boxes, sparse, dense, pairs, eps2: float, min_pts: int, side: float):
     """Links of sparse sites to dense cells, and the neighbour count of each sparse site.
 
     Returns touch(site, cx, cy) with the dense cell, and counts(site, total) where total is
     exact below min_pts and at least min_pts otherwise.
     """
-    target = dense.select(F.col("cx").alias("nx"), F.col("cy").alias("ny"), *[F.col(b).alias("d_" + b) for b in BOX])
+    target = _renamed(dense, "d_", BOX + CELL)
     near = (
         _around(sparse.select("site", "cx", "cy", "x", "y"), OFFSETS)
-        .drop("cx", "cy")
-        .join(target, ["nx", "ny"])
+        .join(target, (F.col("nx") == F.col("d_cx")) & (F.col("ny") == F.col("d_cy")))
         .withColumns(_as_point_box("p_"))
         .where(nearest_squared("p_", "d_") <= eps2)
         .select("site", "x", "y", F.col("nx").alias("cx"), F.col("ny").alias("cy"))
     )
-    near = materialize(near)
-    sub = {"bx": _index("x", side / SUB), "by": _index("y", side / SUB)}
-    wanted = near.select(*CELL).distinct()
-    boxes = (
-        lookup_join(sites, wanted, CELL)
-        .withColumns(sub)
-        .groupBy(*SUBBOX)
-        .agg(F.sum("n").alias("box_n"), *_box())
-    )
-    boxes = boxes.select(*SUBBOX, "box_n", *[F.col(b).alias("d_" + b) for b in BOX])
+    parts = boxes.select(*SUBBOX, "box_n", *[F.col(b).alias("d_" + b) for b in BOX])
     measured = materialize(
-        near.join(boxes, CELL)
+        near.join(parts, CELL)
         .withColumns(_as_point_box("p_"))
         .where(nearest_squared("p_", "d_") <= eps2)
         .withColumn("inside", farthest_squared("p_", "d_") <= eps2)
@@ -133,13 +153,12 @@ def _touches(sites: DataFrame, sparse: DataFrame, dense: DataFrame, pairs: DataF
     )
     inside = measured.where("inside").groupBy("site", *CELL).agg(F.sum("box_n").alias("sure"))
     own = sparse.select("site", F.sum("n").over(Window.partitionBy(*CELL)).alias("k"))
-    known = materialize(
+    known = (
         own.unionByName(_both_ways(pairs).select("site", F.col("o_n").alias("k")))
         .unionByName(inside.select("site", F.col("sure").alias("k")))
         .groupBy("site")
         .agg(F.sum("k").alias("total"))
     )
-    inside = materialize(inside)
     open_boxes = (
         measured.where("NOT inside")
         .join(inside, ["site", *CELL], "left")
@@ -148,6 +167,7 @@ def _touches(sites: DataFrame, sparse: DataFrame, dense: DataFrame, pairs: DataF
         .select("site", F.col("x").alias("p_x"), F.col("y").alias("p_y"), *SUBBOX)
     )
     # A box meets only sites of nearby sparse cells, so at most 24 * min_pts rows match one.
+    sub = {"bx": _index("x", side / SUB), "by": _index("y", side / SUB)}
     dx, dy = F.col("x") - F.col("p_x"), F.col("y") - F.col("p_y")
     counted = materialize(
         lookup_join(sites.drop("site").withColumns(sub), open_boxes, SUBBOX)
@@ -161,7 +181,7 @@ def _touches(sites: DataFrame, sparse: DataFrame, dense: DataFrame, pairs: DataF
         .groupBy("site")
         .agg(F.sum("total").alias("total"))
     )
-    return touch, counts
+    return materialize(touch), counts
 
 
 def _dense_links(dense: DataFrame, eps2: float) -> DataFrame:
@@ -229,21 +249,21 @@ def dbscan(points: DataFrame, eps: float = EPS, min_pts: int = MIN_POINTS) -> Da
     sites = materialize(
         distinct_sites(points).withColumns({"cx": _index("x", side), "cy": _index("y", side)})
     )
-    cells = sites.groupBy(*CELL).agg(
-        F.sum("n").alias("cell_n"), F.min("site").alias("label"), *_box(), _tips().alias("tips")
-    )
-    dense = materialize(cells.where(F.col("cell_n") >= min_pts))
-    flagged = lookup_join(sites, dense.select(*CELL, F.lit(True).alias("_dense")), CELL, "left")
+    boxes = materialize(_boxes(sites, side))
+    dense = materialize(_dense_cells(boxes, min_pts))
+    marks = dense.select(*CELL, F.lit(True).alias("_dense"))
+    flagged = lookup_join(sites, marks, CELL, "left", stored=True)
     sparse = materialize(flagged.where(F.col("_dense").isNull()).drop("_dense"))
     pairs = materialize(_sparse_pairs(sparse, eps2))
-    touch, counts = _touches(sites, sparse, dense, pairs, eps2, min_pts, side)
-    touch = materialize(touch)
+    touch, counts = _touches(sites, boxes, sparse, dense, pairs, eps2, min_pts, side)
 
     core = materialize(
         sparse.join(counts.where(F.col("total") >= min_pts).select("site"), "site").select("site", *CELL)
     )
     nodes = materialize(
-        dense.select(*CELL, "label").unionByName(core.groupBy(*CELL).agg(F.min("site").alias("label")))
+        dense.select(*CELL, "label", F.lit(True).alias("is_dense")).unionByName(
+            core.groupBy(*CELL).agg(F.min("site").alias("label"), F.lit(False).alias("is_dense"))
+        )
     )
     label_of = nodes.select(*CELL, "label")
     core_label = core.join(label_of, CELL).select("site", F.col("label").alias("a"))
@@ -280,11 +300,11 @@ def dbscan(points: DataFrame, eps: float = EPS, min_pts: int = MIN_POINTS) -> Da
 
     numbers = global_rank(roots.select("root").distinct(), ["root"], "cluster")
     clusters = roots.join(numbers, "root").select(F.col("node").alias("label"), F.col("cluster").cast("int"))
-    cell_cluster = materialize(nodes.join(clusters, "label").select(*CELL, "cluster"))
-    return _assign(located, sparse, dense, core, pairs, touch, cell_cluster)
+    cell_cluster = materialize(nodes.join(clusters, "label").select(*CELL, "is_dense", "cluster"))
+    return _assign(located, sparse, core, pairs, touch, cell_cluster)
 
 
-def _assign(located, sparse, dense, core, pairs, touch, cell_cluster) -> DataFrame:
+def _assign(located, sparse, core, pairs, touch, cell_cluster) -> DataFrame:
     """Labels of all points from the clusters of the cells.
 
     Points of dense cells need only their cell. A site of a sparse cell takes the smallest
@@ -306,8 +326,8 @@ def _assign(located, sparse, dense, core, pairs, touch, cell_cluster) -> DataFra
         .join(sparse.select("site", F.col("x").alias("_x"), F.col("y").alias("_y")), "site")
         .drop("site")
     )
-    dense_cluster = dense.select(*CELL).join(cell_cluster, CELL).withColumnRenamed("cluster", "_cluster")
-    by_cell = lookup_join(located, dense_cluster, CELL, "left")
+    dense_cluster = cell_cluster.where("is_dense").select(*CELL, F.col("cluster").alias("_cluster"))
+    by_cell = lookup_join(located, dense_cluster, CELL, "left", stored=True)
     # Points of dense cells are done; a NULL key keeps them out of the second lookup.
     rest = F.col("_cluster").isNull()
     by_site = lookup_join(
