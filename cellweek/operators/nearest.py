@@ -22,9 +22,9 @@ from cellweek.sources.scratch import materialize
 
 # A query box with more candidate nodes than this is replaced by its single sites. This
 # splits the work and drops no candidate.
-SPLIT_ABOVE = 64
+SPLIT_ABOVE = 256
 
-TILES_PER_TASK = 500
+TILES_PER_TASK = 100
 
 QUERY = ["q_i", "q_j", "q_site"]
 
@@ -37,7 +37,7 @@ def _prune(frontier: DataFrame, k: int) -> DataFrame:
     """Drop nodes that cannot hold one of the k nearest points of their query box.
 
     The bound of a query is the smallest radius at which wholly covered nodes already hold
-    k points. _width is the number of nodes a query keeps.
+    k points; it stays as _bound, and _width is the number of nodes a query keeps.
     """
     measured = frontier.withColumns(
         {"_near": nearest_squared("q_", "r_"), "_far": farthest_squared("q_", "r_")}
@@ -49,7 +49,7 @@ def _prune(frontier: DataFrame, k: int) -> DataFrame:
         measured.withColumn("_covered", covered)
         .withColumn("_bound", bound)
         .where(F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound")))
-        .drop("_near", "_far", "_covered", "_bound")
+        .drop("_near", "_far", "_covered")
         .withColumn("_width", F.count(F.lit(1)).over(Window.partitionBy(*QUERY)))
     )
 
@@ -75,7 +75,10 @@ def _split_wide(frontier: DataFrame, sites: DataFrame, k: int) -> DataFrame:
 
 
 def _leaf_candidates(tiled: DataFrame, extent: list[int], k: int) -> DataFrame:
-    """Pairs of query (box or single site) and leaf that may hold one of its k nearest."""
+    """Pairs of query (box or single site) and leaf that may hold one of its k nearest.
+
+    _bound is the squared radius around the query that surely holds k points.
+    """
     leaves = materialize(leaf_nodes(tiled))
     frontier = _prefixed(leaves, "q_", ["i", "j", *BOX]).withColumns(
         {c: F.lit(None).cast("bigint") for c in ["q_site"]} | {c: F.lit(0).cast("bigint") for c in ["r_i", "r_j"]}
@@ -91,7 +94,7 @@ def _leaf_candidates(tiled: DataFrame, extent: list[int], k: int) -> DataFrame:
         frontier = _prune(expanded, k)
         if level == 0 or nodes_at(extent, level) > SPLIT_ABOVE:
             frontier = _split_wide(materialize(frontier), tiled, k)
-    return frontier.select(*QUERY, "q_min_x", "q_min_y", "r_i", "r_j")
+    return frontier.select(*QUERY, *["q_" + b for b in BOX], "r_i", "r_j", "_bound")
 
 
 def _tile_distances(k: int):
@@ -126,8 +129,20 @@ def site_distances(sites: DataFrame, k: int, tile: int | None = None) -> DataFra
     """
     tiled, extent = tile_sites(sites, tile or max(32, k))
     candidates = _leaf_candidates(tiled, extent, k)
-    members = tiled.select(F.col("slab").alias("r_i"), F.col("tile").alias("r_j"), "x", "y", "n", "site")
-    boxed = candidates.where(F.col("q_site").isNull()).join(members, ["r_i", "r_j"])
+    point = {f"s_{n}_{a}": F.col(a) for n in ("min", "max") for a in ("x", "y")}
+    members = (
+        tiled.withColumns(point)
+        .withColumnRenamed("slab", "r_i")
+        .withColumnRenamed("tile", "r_j")
+        .select("r_i", "r_j", "x", "y", "n", *point)
+    )
+    near = nearest_squared("q_", "s_")
+    reachable = (
+        candidates.join(members, ["r_i", "r_j"])
+        .withColumn("_d2", near)
+        .where(F.col("_bound").isNull() | (F.col("_d2") <= F.col("_bound")))
+    )
+    boxed = reachable.where(F.col("q_site").isNull())
     own = (F.col("q_i") == F.col("r_i")) & (F.col("q_j") == F.col("r_j"))
     # Rows are few but each tile costs Python time, so the task count follows the tiles.
     tasks = max(sites.sparkSession.sparkContext.defaultParallelism, nodes_at(extent, 0) // TILES_PER_TASK)
@@ -137,11 +152,10 @@ def site_distances(sites: DataFrame, k: int, tile: int | None = None) -> DataFra
         .groupBy("q_i", "q_j")
         .applyInPandas(_tile_distances(k), "x double, y double, d2 double")
     )
-    single = candidates.where(F.col("q_site").isNotNull()).join(members, ["r_i", "r_j"])
-    dx, dy = F.col("q_min_x") - F.col("x"), F.col("q_min_y") - F.col("y")
+    # For a single site the distance to its box is the distance to the site itself.
     by_distance = Window.partitionBy("q_site").orderBy("_d2").rangeBetween(Window.unboundedPreceding, 0)
     from_sites = (
-        single.withColumn("_d2", dx * dx + dy * dy)
+        reachable.where(F.col("q_site").isNotNull())
         .withColumn("_count", F.sum("n").over(by_distance))
         .where(F.col("_count") >= k)
         .groupBy("q_min_x", "q_min_y")
