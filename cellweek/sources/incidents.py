@@ -19,7 +19,9 @@ def read_incident_csv(
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
     if keep_corrupt:
         schema = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
+        # Without pruning a row of the wrong length is marked whatever columns are used. A cell
+        # of the wrong type marks its row when its column is read.
+        reader = reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
     return reader.schema(schema).csv(path)
 
 
