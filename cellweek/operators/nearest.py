@@ -81,7 +81,12 @@ def _leaf_candidates(tiled: DataFrame, extent: list[int], k: int) -> DataFrame:
     """
     leaves = materialize(leaf_nodes(tiled))
     frontier = _prefixed(leaves, "q_", ["i", "j", *BOX]).withColumns(
-        {c: F.lit(None).cast("bigint") for c in ["q_site"]} | {c: F.lit(0).cast("bigint") for c in ["r_i", "r_j"]}
+        {
+            "q_site": F.lit(None).cast("bigint"),
+            "r_i": F.lit(0).cast("bigint"),
+            "r_j": F.lit(0).cast("bigint"),
+            "_bound": F.lit(None).cast("double"),
+        }
     )
     for level in reversed(range(height_of(extent))):
         children = _prefixed(ancestors(leaves, level), "r_", ["i", "j", "n", *BOX]).withColumns(

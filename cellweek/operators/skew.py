@@ -23,7 +23,7 @@ def _salt(keys: list[str], columns: list[str]) -> Column:
 def hot_keys(facts: DataFrame, keys: list[str]) -> DataFrame:
     """Keys with more than 1/SLICES of all rows, with the number of slices to cut them into."""
     counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = facts.agg(F.count(F.lit(1)).alias("_total")).scalar()
+    total = counts.agg(F.sum("_n").alias("_total")).scalar()
     return (
         counts.withColumn("_slices", F.ceil(F.col("_n") * SLICES / total))
         .where(F.col("_slices") > 1)
@@ -34,10 +34,11 @@ def hot_keys(facts: DataFrame, keys: list[str]) -> DataFrame:
 def salted_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Shuffle join in which each hot key is cut into slices on the fact side.
 
-    The hot-key table has at most SLICES rows by its definition, so it is safe to broadcast.
+    The hot-key table has at most SLICES rows by its definition, so it is safe to broadcast. It
+    is written first, so that the returned plan holds the facts once and joins can be chained.
     The salt is a hash of the row, so a re-run task puts every row into the same slice.
     """
-    hot = F.broadcast(hot_keys(facts, keys))
+    hot = F.broadcast(materialize(hot_keys(facts, keys)))
     left = facts.join(hot, keys, "left").withColumn("_salt", _salt(keys, facts.columns)).drop("_slices")
     right = (
         lookup.join(hot, keys, "left")
