@@ -4,7 +4,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweek.operators.skew import lookup_join
+from cellweek.operators.skew import BROADCAST_ROWS, lookup_join
 from cellweek.operators.tiles import (
     BOX,
     FANOUT,
@@ -95,6 +95,9 @@ def _leaf_candidates(tiled: DataFrame, extent: list[int], k: int) -> DataFrame:
         parents = frontier.select(
             F.col("r_i").alias("p_i"), F.col("r_j").alias("p_j"), *QUERY, *["q_" + b for b in BOX]
         )
+        # All queries share the few nodes of the upper levels, which would make them hot keys.
+        if nodes_at(extent, level) <= BROADCAST_ROWS:
+            children = F.broadcast(children)
         expanded = parents.join(children, ["p_i", "p_j"]).drop("p_i", "p_j")
         frontier = _prune(expanded, k)
         if level == 0 or nodes_at(extent, level) > SPLIT_ABOVE:

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from cellweek.sources.scratch import materialize
 
-# Lookups up to this many rows are broadcast; more are joined by shuffle.
+# Lookups within both limits are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 # A key is hot when it holds more than 1/SLICES of the fact rows, so at most SLICES are hot.
 SLICES = 1000
 
@@ -48,6 +49,11 @@ def salted_join(facts: DataFrame, lookup: DataFrame, keys: list[str], how: str =
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
+def stored_bytes(table: DataFrame) -> int:
+    """Planner's size of a stored table, which it takes from the files."""
+    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def lookup_join(
     facts: DataFrame,
     lookup: DataFrame,
@@ -64,6 +70,6 @@ def lookup_join(
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     table = lookup if stored else materialize(lookup)
-    if table.count() <= limit:
+    if stored_bytes(table) <= BROADCAST_BYTES and table.count() <= limit:
         return facts.join(F.broadcast(table), keys, how)
     return salted_join(facts, table, keys, how)
