@@ -23,7 +23,6 @@ from cellweek.sources import incidents as io
 from cellweek.sources.scratch import materialize, scratch_path
 
 SERIES = ["hotspot_id_x", "hotspot_id_y"]
-# The model queries use a short season as well, because it leaves more usable weeks.
 TODAY = "2001-08-15"
 
 

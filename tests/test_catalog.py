@@ -11,7 +11,7 @@ import __spark_entry__ as contract
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are absent")
 
-# The slower clustering and model queries are compared at a larger size by the driver.
+# A subset, to keep the suite short; the fitted models have their own tests.
 CHECKED = [
     "clean_incidents",
     "clean_projected",
