@@ -127,10 +127,12 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     prints = materialize(
         found.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").cast("long").alias("id"))
     )
-    roots = connected_components(prints.select(F.col("id").alias("node")), close_links(prints, max_bits))
+    links = materialize(close_links(prints, max_bits))
+    # Only linked fingerprints take part in the rounds; the others are groups of their own.
+    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    roots = connected_components(linked, links)
     moved = roots.where("node <> root").select(F.col("node").alias("id"), F.col("root").alias("_root"))
     members = materialize(prints.join(moved, "id").select("fingerprint", "_root", "id"))
-    # Fingerprints that are linked to others need the root; the rest stand for their own group.
     firsts = prints.select("fingerprint", "id")
     table = materialize(firsts.join(members.select("fingerprint", "_root"), "fingerprint", "left").select(
         "fingerprint", F.coalesce("_root", "id").alias("component_id")

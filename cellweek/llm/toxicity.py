@@ -35,7 +35,7 @@ FACTORS = 4
 EPOCHS = 12
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
-_CACHED = 500_000
+_CACHED = 200_000
 
 
 class Terms:
