@@ -122,6 +122,6 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
         made.append((label, keyword, f"{name} licen[cs]e", 3, 0.8))
         made.append((label, keyword, f"licen[cs]e {name}", 3, 0.7))
         if bare:
-            made.append((label, keyword, name, 2, 0.6))
+            made.append((label, keyword, name, 3, 0.7))
     made += SENTENCES
     return [(i, label, keyword, rf"(?<![^ ]){pattern}(?![^ ])", priority, sure) for i, (label, keyword, pattern, priority, sure) in enumerate(made)]

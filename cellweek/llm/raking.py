@@ -56,7 +56,7 @@ def _rake_local(cells: pd.DataFrame, targets: dict[str, dict], rounds: int) -> n
     for _ in range(rounds):
         for column, shares in targets.items():
             code, values = coded[column]
-            mass = np.bincount(code, weight * tokens, len(values))
+            mass = np.bincount(code, weight * tokens, len(values)).astype(float)
             wanted = np.array([shares.get(v, 0.0) for v in values]) * total
             weight = weight * np.divide(wanted, mass, out=np.zeros_like(mass), where=mass > 0)[code]
     return weight

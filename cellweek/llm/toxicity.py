@@ -32,7 +32,7 @@ MAX_TERMS = 8192
 MIN_TEXTS = 3
 MIN_Z = 3.0
 FACTORS = 4
-EPOCHS = 12
+EPOCHS, LEAST_STEPS, BATCH = 12, 1000, 64
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 _CACHED = 200_000
@@ -97,10 +97,11 @@ def fit_machine(rows: list[list[int]], labels: np.ndarray, places: dict[int, int
     factors = rng.normal(0, 0.02, (n + 1, FACTORS))
     weights[n], factors[n] = 0, 0
     sum_b, sum_w, sum_v = 1e-6, np.full(n + 1, 1e-6), np.full((n + 1, FACTORS), 1e-6)
-    for _ in range(EPOCHS if n else 0):
+    epochs = max(EPOCHS, LEAST_STEPS * BATCH // max(BATCH, len(rows)))
+    for _ in range(epochs if n else 0):
         order = rng.permutation(len(rows))
-        for start in range(0, len(order), 64):
-            batch = order[start : start + 64]
+        for start in range(0, len(order), BATCH):
+            batch = order[start : start + BATCH]
             width = max(1, max(len(rows[i]) for i in batch))
             at = np.full((len(batch), width), n)
             for k, i in enumerate(batch):
