@@ -197,9 +197,11 @@ ORACLES = {
         SELECT count(*) AS raw_rows,
                count(*) FILTER (WHERE ts IS NOT NULL AND latitude <> 0 AND longitude <> 0) AS clean_rows
         FROM parsed""",
+    "first_rows": f"WITH {INCIDENTS} SELECT id, ts AS Timestamp FROM incidents ORDER BY id LIMIT 5",
     "parse_timestamp": f"""WITH {RAW}
         SELECT id, ts, try_cast(coalesce(date_text, block) AS DOUBLE) AS as_number,
-               try_cast(substr(case_number, 2) AS DOUBLE) AS case_number
+               try_cast(substr(case_number, 2) AS DOUBLE) AS case_number,
+               CASE WHEN id % 3 = 0 THEN CAST(id AS DOUBLE) END AS suffixed
         FROM parsed""",
     "date_features": f"""WITH {INCIDENTS}
         SELECT id, year(ts) AS year, month(ts) AS month, week(ts) AS week, dayofweek(ts) + 1 AS dayofweek,
@@ -254,7 +256,25 @@ ORACLES = {
         FROM sizes""",
     "model_lookup": f"""WITH {SPANS}
         SELECT hotspot_id_x, hotspot_id_y, n_weeks, last_week FROM spans
-        WHERE hotspot_id_x = (SELECT min(hotspot_id_x) FROM spans)""",
+        ORDER BY hotspot_id_x, hotspot_id_y LIMIT 1""",
+    "forecast_by_id": f"""WITH {SPANS},
+        named AS (SELECT *, ((hotspot_id_x + hotspot_id_y) % 5 + 5) % 5 AS short_id FROM spans)
+        SELECT c_custkey AS request_id, c_custkey % 7 AS short_id, hotspot_id_x, hotspot_id_y,
+               CASE WHEN last_week IS NULL THEN 'not_found' ELSE 'ok' END AS status,
+               CASE WHEN last_week IS NULL THEN 0 ELSE
+                 date_diff('day', greatest(DATE '2002-03-03', last_week + 7), DATE '2002-04-28') // 7 + 1 END AS n_weeks
+        FROM customer LEFT JOIN named ON short_id = c_custkey % 7""",
+    "trend_forecast": f"""WITH {SERIES},
+        short AS (SELECT * FROM series QUALIFY row_number() OVER (PARTITION BY hotspot_id_x, hotspot_id_y ORDER BY week_end) <= 60),
+        lines AS (
+          SELECT hotspot_id_x, hotspot_id_y, max(week_end) AS last_week,
+                 regr_slope(y, date_diff('day', DATE '1970-01-04', week_end) / 7) AS b,
+                 regr_intercept(y, date_diff('day', DATE '1970-01-04', week_end) / 7) AS a
+          FROM short GROUP BY ALL),
+        ahead AS (SELECT *, unnest(range(1, 11)) AS step FROM lines)
+        SELECT hotspot_id_x, hotspot_id_y, CAST(last_week + CAST(7 * step AS INTEGER) AS DATE) AS week_end,
+               round(a + b * (date_diff('day', DATE '1970-01-04', last_week) / 7 + step), 6) AS predicted
+        FROM ahead""",
     "forecast_requests": f"""WITH {REQUESTS}
         SELECT request_id, hotspot_id_x, hotspot_id_y, start_date, end_date, status,
                CASE status WHEN 'ok' THEN 200 WHEN 'not_found' THEN 404 ELSE 400 END AS code,
@@ -271,6 +291,45 @@ ORACLES = {
         SELECT id, case_number, date_text, primary_type, x, latitude, longitude, location FROM raw""",
 }
 ORACLES["holiday_join_calendar"] = ORACLES["holiday_flag"]
+ORACLES["csv_lenient"] = ORACLES["clean_projected"]
+ORACLES["approximate_threshold"] = "SELECT true AS within"
+
+# Murmur3 (32 bits, seed 42) of an ASCII text: words of four bytes, then single bytes.
+_MASK = 4294967295
+
+
+def _times(a: str, b: int) -> str:
+    return f"CAST(CAST({a} AS HUGEINT) * {b} % 4294967296 AS BIGINT)"
+
+
+def _turn(a: str, n: int) -> str:
+    return f"((({a}) << {n}) & {_MASK} | (({a}) >> {32 - n}))"
+
+
+def _murmur3(text: str) -> str:
+    """Signed hash of a text column."""
+    mixed = _times(_turn(_times("k", 0xCC9E2D51), 15), 0x1B873593)
+    step = f"({_times(_turn(f'xor(h, {mixed})', 13), 5)} + {0xE6546B64}) & {_MASK}"
+    words = (
+        f"list_concat([CAST(42 AS BIGINT)], list_transform(range(0, length({text}) // 4), lambda i: "
+        f"CAST(ascii({text}[4*i+1]) + ascii({text}[4*i+2]) * 256 + ascii({text}[4*i+3]) * 65536 "
+        f"+ ascii({text}[4*i+4]) * 16777216 AS BIGINT)), "
+        f"list_transform(range(length({text}) // 4 * 4, length({text})), lambda i: CAST(ascii({text}[i+1]) AS BIGINT)))"
+    )
+    body = f"xor(list_reduce({words}, lambda h, k: CAST({step} AS BIGINT)), length({text}))"
+    last = lambda h, n: f"xor({h}, ({h}) >> {n})"
+    return f"(SELECT CASE WHEN f > 2147483647 THEN f - 4294967296 ELSE f END FROM (SELECT {last('e', 16)} AS f FROM (SELECT {_times(last('d', 13), 0xC2B2AE35)} AS e FROM (SELECT {_times(last('c', 16), 0x85EBCA6B)} AS d FROM (SELECT {body} AS c)))))"
+
+
+NAMED = HOTSPOTS + f""",
+texts AS (SELECT *, hotspot_id_x || '_' || hotspot_id_y AS t FROM hotspots),
+named AS (SELECT *, abs(CAST({_murmur3("t")} AS BIGINT)) % 100000 AS id FROM texts)"""
+ORACLES["hotspot_combined_id"] = f"""WITH {NAMED}
+    SELECT hotspot_id_x, hotspot_id_y, crime_count, id AS hotspot_id_combined FROM named"""
+ORACLES["grid_hotspot_json"] = f"""WITH {NAMED}
+    SELECT id, (hotspot_id_y + CAST(0.5 AS DOUBLE)) * CAST(0.001 AS DOUBLE) AS lat,
+           (hotspot_id_x + CAST(0.5 AS DOUBLE)) * CAST(0.001 AS DOUBLE) AS lon, crime_count FROM named"""
+ORACLES["hotspot_definitions"] = ORACLES["grid_hotspot_json"]
 
 TERMS = ["lag(w, 1) OVER s", "lag(w, 2) OVER s", "lag(w, 3) OVER s", "lag(w, 52) OVER s", "lag(w, 53) OVER s", "dx"]
 ORACLES["seasonal_cross_products"] = f"""WITH {DIFFERENCED},
@@ -358,3 +417,16 @@ ORACLES["cluster_counts"] = f"WITH RECURSIVE {LABELS} SELECT cluster, count(*) A
 ORACLES["cluster_totals"] = f"""WITH RECURSIVE {LABELS}
     SELECT count(DISTINCT cluster) FILTER (WHERE cluster <> -1) AS n_clusters,
            count(*) FILTER (WHERE cluster = -1) AS n_noise FROM labels"""
+ORACLES["cluster_ids"] = f"WITH RECURSIVE {LABELS} SELECT DISTINCT cluster FROM labels WHERE cluster <> -1"
+ORACLES["cluster_report_json"] = f"""WITH RECURSIVE {LABELS},
+    placed AS (
+      SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY id) - 1 AS rank,
+             count(*) OVER (PARTITION BY cluster) AS crime_count
+      FROM labels WHERE cluster <> -1)
+    SELECT CAST(cluster AS BIGINT) AS id, rank // 100 AS page, crime_count, count(*) AS n_points
+    FROM placed GROUP BY ALL"""
+ORACLES["cluster_job_rows"] = f"""WITH RECURSIVE {LABELS}
+    SELECT CASE WHEN id % 7 <> 0 THEN id % 500 + 5000000000 END AS incident_id, x, y, cluster = -1 AS is_noise FROM labelled"""
+_PLACED_LABELS = LABELS.replace("FROM events\n", "FROM events WHERE event_id % 10 <> 0\n")
+ORACLES["dbscan_unplaced"] = f"""WITH RECURSIVE {_PLACED_LABELS}
+    SELECT id, cluster FROM labels UNION ALL SELECT event_id, -1 FROM events WHERE event_id % 10 = 0"""

@@ -1,6 +1,6 @@
 """Registered queries: name -> function of (spark, folder of test tables)."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellweek.catalog import views
@@ -18,6 +18,7 @@ from cellweek.operators import (
     seasonal,
     weekly,
 )
+from cellweek.plans import cluster_forecast, serve
 from cellweek.schema import INCIDENT_SCHEMA, SEASON_GRID
 from cellweek.sources import incidents as io
 from cellweek.sources.scratch import materialize, scratch_path
@@ -33,7 +34,11 @@ def clean_incidents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clean_projected(spark, folder):
-    return clean.clean_projected(views.raw_incidents(spark, folder)).select(
+    return _projected(clean.clean_projected(views.raw_incidents(spark, folder)))
+
+
+def _projected(cleaned):
+    return cleaned.select(
         F.col("ID").cast("bigint").alias("id"),
         F.col("Date").alias("ts"),
         F.col("X Coordinate").alias("x"),
@@ -43,10 +48,18 @@ def clean_projected(spark, folder):
 
 
 def clean_row_counts(spark, folder):
-    raw = views.raw_incidents(spark, folder)
-    return raw.agg(F.count(F.lit(1)).alias("raw_rows")).withColumn(
-        "clean_rows", clean.clean_incidents(raw).agg(F.count(F.lit(1))).scalar()
-    )
+    return clean.row_counts(views.raw_incidents(spark, folder))
+
+
+def first_rows(spark, folder):
+    return clean.first_rows(views.incidents(spark, folder).select("id", "Timestamp").orderBy("id"))
+
+
+def csv_lenient(spark, folder):
+    """The projected cleaning over a CSV file whose coordinates are read as text."""
+    path = scratch_path(spark)
+    io.write_csv(views.raw_incidents(spark, folder), path)
+    return _projected(clean.clean_projected(io.read_incident_csv(spark, path, lenient=True)))
 
 
 def parse_timestamp(spark, folder):
@@ -55,6 +68,12 @@ def parse_timestamp(spark, folder):
         scalars.parse_timestamp("Date").alias("ts"),
         scalars.to_number(F.coalesce("Date", "Block")).alias("as_number"),
         scalars.to_number(F.col("Case Number").substr(F.lit(2), F.lit(20))).alias("case_number"),
+        scalars.to_number(
+            F.concat(
+                F.col("Case Number").substr(F.lit(2), F.lit(20)),
+                F.element_at(F.array(F.lit(""), F.lit("d"), F.lit(".5F")), (F.col("ID") % 3 + 1).cast("int")),
+            )
+        ).alias("suffixed"),
     )
 
 
@@ -122,7 +141,27 @@ def grid_hotspot_summary(spark, folder):
 
 def grid_hotspot_json(spark, folder):
     summary = grid.hotspot_summary(grid.grid_hotspots(views.incidents(spark, folder)))
-    return requests.as_json(summary, ["id", "centroid", "crime_count"])
+    written = requests.as_json(summary, ["id", "centroid", "crime_count"])
+    record = F.from_json("json", "id bigint, centroid struct<lat: double, lon: double>, crime_count bigint")
+    return written.select(record.alias("r")).select("r.id", "r.centroid.lat", "r.centroid.lon", "r.crime_count")
+
+
+def hotspot_definitions(spark, folder):
+    """The definitions written and read back, as the hotspot list."""
+    target = scratch_path(spark)
+    io.write_table(grid.grid_hotspots(views.incidents(spark, folder)), f"{target}/hotspot_definitions")
+    return serve.hotspot_list(spark, target).select("id", "centroid.lat", "centroid.lon", "crime_count")
+
+
+def approximate_threshold(spark, folder):
+    """Whether the rank of the approximate threshold lies within the stated error."""
+    rows = views.incidents(spark, folder)
+    counts = grid.cell_counts(grid.assign_cells(rows))
+    least = grid.grid_hotspots(rows, relative_error=0.01).agg(F.min("crime_count").alias("least"))
+    share = F.count_if(F.col("crime_count") < F.col("least")) / F.count(F.lit(1))
+    # Cells of the smallest hotspot's count or more lie above the threshold; those that tie with
+    # the threshold widen the stated error of 0.01.
+    return counts.join(F.broadcast(least)).agg((F.abs(share - 0.95) <= 0.03).alias("within"))
 
 
 def top_hotspots(spark, folder):
@@ -212,8 +251,37 @@ def forecast_weeks(spark, folder):
 
 def model_lookup(spark, folder):
     models = _models(spark, folder)
-    asked = models.agg(F.min("hotspot_id_x")).scalar()
-    return models.where(F.col("hotspot_id_x") == asked).select(*SERIES, "n_weeks", "last_week")
+    first = models.agg(F.min(F.struct(*SERIES)).alias("cell")).first()["cell"]
+    return io.model_for(models, first[0], first[1]).select(*SERIES, "n_weeks", "last_week")
+
+
+def forecast_by_id(spark, folder):
+    """Forecasts asked for by short ids of which there are so few that they collide."""
+    short = F.pmod(F.col("hotspot_id_x") + F.col("hotspot_id_y"), F.lit(5)).alias("short_id")
+    models = _models(spark, folder).select("*", short)
+    asked = views.table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("request_id"),
+        (F.col("c_custkey") % 7).alias("short_id"),
+        F.lit("2002-03-01").cast("date").alias("start_date"),
+        F.lit("2002-04-30").cast("date").alias("end_date"),
+    )
+    named = requests.resolve_ids(asked, models, SERIES, "short_id")
+    sliced = requests.request_forecasts(named, models.drop("short_id"), SERIES, SEASON_GRID)
+    return sliced.select(
+        "request_id", "short_id", *SERIES, "status",
+        F.coalesce(F.size("predicted"), F.lit(0)).cast("bigint").alias("n_weeks"),
+    )
+
+
+def trend_forecast(spark, folder):
+    """Series of 60 weeks are too short for the seasonal terms and follow their trend."""
+    order = Window.partitionBy(*SERIES).orderBy("week_end")
+    short = _series(spark, folder).withColumn("_n", F.row_number().over(order)).where("_n <= 60").drop("_n")
+    models = seasonal.fit_seasonal(short, SERIES, SEASON_GRID)
+    until = models.withColumn("until", F.date_add("last_week", 70))
+    return rollout.forecast_rows(until, SERIES, SEASON_GRID, "until").select(
+        *SERIES, "week_end", F.round("predicted", 6).alias("predicted")
+    )
 
 
 def forecast_requests(spark, folder):
@@ -310,7 +378,41 @@ def cluster_pages(spark, folder):
 
 
 def cluster_report_json(spark, folder):
-    return requests.as_json(clusters.cluster_report(_labelled(spark, folder), "y", "x"))
+    report = clusters.cluster_report(_labelled(spark, folder), "y", "x", page_size=100)
+    schema = "id bigint, page bigint, crime_count bigint, points array<struct<Latitude: double, Longitude: double>>"
+    record = F.from_json(F.col("json"), schema)
+    return requests.as_json(report).select(record.alias("r")).select(
+        "r.id", "r.page", "r.crime_count", F.size("r.points").cast("bigint").alias("n_points")
+    )
+
+
+def cluster_ids(spark, folder):
+    return clusters.cluster_ids(_labelled(spark, folder))
+
+
+def dbscan_unplaced(spark, folder):
+    """Every tenth point has no number as its x; those are noise and near nobody."""
+    rows = views.points(spark, folder).withColumn(
+        "x", F.when(F.col("id") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("x"))
+    )
+    return dbscan.dbscan(rows, EPS, MIN_PTS)
+
+
+def cluster_job_rows(spark, folder):
+    """Labels written and read back for rows whose incident IDs repeat or are missing."""
+    rows = views.points(spark, folder).select(
+        F.when(F.col("id") % 7 != 0, F.col("id") % 500 + 5_000_000_000).alias("ID"),
+        F.col("x").alias("X Coordinate"),
+        F.col("y").alias("Y Coordinate"),
+    )
+    stored = cluster_forecast.keyed(rows)
+    labels = cluster_forecast.store_labels(stored, scratch_path(spark), EPS, MIN_PTS)
+    return clusters.attach_labels(stored.drop("incident_id"), labels).select(
+        "incident_id",
+        F.col("X Coordinate").alias("x"),
+        F.col("Y Coordinate").alias("y"),
+        (F.col("cluster") == clusters.NOISE).alias("is_noise"),
+    )
 
 
 def cluster_counts(spark, folder):
@@ -327,6 +429,8 @@ QUERIES = {
         clean_incidents,
         clean_projected,
         clean_row_counts,
+        first_rows,
+        csv_lenient,
         parse_timestamp,
         date_features,
         holiday_calendar,
@@ -339,6 +443,8 @@ QUERIES = {
         grid_hotspots_approximate,
         grid_hotspot_summary,
         grid_hotspot_json,
+        hotspot_definitions,
+        approximate_threshold,
         top_hotspots,
         hotspot_incidents,
         weekly_series,
@@ -353,6 +459,8 @@ QUERIES = {
         train_each,
         forecast_weeks,
         model_lookup,
+        forecast_by_id,
+        trend_forecast,
         forecast_requests,
         forecast_report,
         forecast_report_json,
@@ -367,5 +475,8 @@ QUERIES = {
         cluster_report_json,
         cluster_counts,
         cluster_totals,
+        cluster_ids,
+        dbscan_unplaced,
+        cluster_job_rows,
     ]
 }

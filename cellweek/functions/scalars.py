@@ -1,4 +1,4 @@
-"""Scalar column expressions. All of them stay inside Spark's generated code."""
+"""Scalar column expressions."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,8 +19,12 @@ def parse_timestamp(text) -> Column:
 
 
 def to_number(text) -> Column:
-    """Double value of a text column, NULL when it is not a number."""
-    return _col(text).try_cast("double")
+    """Double value of a text column, NULL when it is not a number.
+
+    Spark's cast takes the type suffixes d and f of a literal; here they are no number.
+    """
+    typed = F.trim(_col(text)).rlike("[0-9.][dDfF]$")
+    return F.when(~typed, _col(text).try_cast("double"))
 
 
 def week_end(ts) -> Column:
@@ -53,20 +57,10 @@ def combined_id(x, y) -> Column:
     return F.abs(F.hash(key).cast("bigint")) % F.lit(ID_MODULUS)
 
 
-def squared_distance(x1, y1, x2, y2) -> Column:
-    dx, dy = _col(x1) - _col(x2), _col(y1) - _col(y2)
-    return dx * dx + dy * dy
-
-
 def round_cents(value) -> Column:
     """Two decimals, halves to even, computed on the double as NumPy does."""
     return F.rint(_col(value) * 100) / 100
 
 
-def display_count(value) -> Column:
-    """Whole number shown for a prediction."""
-    return F.floor(_col(value))
-
-
 def marker_radius(count) -> Column:
     return F.sqrt(_col(count).cast("double")) / 2

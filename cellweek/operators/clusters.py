@@ -11,7 +11,7 @@ PAGE = 10_000
 
 
 def attach_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows with their cluster, joined by id rather than by position."""
+    """Rows with their cluster, joined by id rather than by position; ids must be unique."""
     return rows.join(labels, "id")
 
 

@@ -230,9 +230,10 @@ def _refined_links(sites: DataFrame, unsure: DataFrame, eps2: float, side: float
         )
         hits = tried.where("hit").select("a", "b").distinct()
         links = hits if links is None else links.unionByName(hits)
+        # Two long clusters can put most boxes on one pair, so the lookup cuts hot pairs.
+        open_pairs = lookup_join(tried.where("NOT hit"), hits.withColumn("_found", F.lit(True)), ["a", "b"], "left")
         pairs = materialize(
-            tried.where("NOT hit")
-            .join(hits, ["a", "b"], "left_anti")
+            open_pairs.where("_found IS NULL")
             .select(
                 "a", "b",
                 F.col("a_ix").alias("pa_x"), F.col("a_iy").alias("pa_y"),
@@ -245,7 +246,11 @@ def _refined_links(sites: DataFrame, unsure: DataFrame, eps2: float, side: float
 def dbscan(points: DataFrame, eps: float = EPS, min_pts: int = MIN_POINTS) -> DataFrame:
     """id, cluster for every point of points(id, x, y); -1 is noise."""
     eps2, side = float(eps) * float(eps), float(eps) * SIDE
-    located = points.select("id", "x", "y").withColumns({"cx": _index("x", side), "cy": _index("y", side)})
+    # A point without both coordinates gets no cell and so stays noise.
+    placed = ~F.isnan("x") & ~F.isnan("y")
+    located = points.select("id", *(F.when(placed, F.col(c)).alias(c) for c in ("x", "y"))).withColumns(
+        {"cx": _index("x", side), "cy": _index("y", side)}
+    )
     sites = materialize(
         distinct_sites(points).withColumns({"cx": _index("x", side), "cy": _index("y", side)})
     )
@@ -299,7 +304,7 @@ def dbscan(points: DataFrame, eps: float = EPS, min_pts: int = MIN_POINTS) -> Da
             ).select("node", "root")
 
     numbers = global_rank(roots.select("root").distinct(), ["root"], "cluster")
-    clusters = roots.join(numbers, "root").select(F.col("node").alias("label"), F.col("cluster").cast("int"))
+    clusters = lookup_join(roots, numbers.select("root", "cluster"), ["root"]).select(F.col("node").alias("label"), F.col("cluster").cast("int"))
     cell_cluster = materialize(nodes.join(clusters, "label").select(*CELL, "is_dense", "cluster"))
     return _assign(located, sparse, core, pairs, touch, cell_cluster)
 

@@ -174,7 +174,7 @@ def site_distances(sites: DataFrame, k: int, tile: int | None = None) -> DataFra
 
 
 def k_distance(points: DataFrame, k: int = NEIGHBOURS, tile: int | None = None) -> DataFrame:
-    """id, x, y, k_dist of every point; k_dist is NULL when there are fewer than k points.
+    """id, x, y, k_dist of every point with coordinates; NULL when there are fewer than k points.
 
     Points at the same location share one search.
     """

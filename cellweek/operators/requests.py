@@ -60,6 +60,16 @@ def resolve_requests(
     )
 
 
+def resolve_ids(asked: DataFrame, models: DataFrame, keys: list[str], id_column: str) -> DataFrame:
+    """One request per cell that has the asked short id, named by its keys.
+
+    Short ids can collide; each cell then has an answer of its own. An unknown id keeps one
+    request with NULL keys, which finds no model.
+    """
+    named = trained(models).select(id_column, *keys).distinct()
+    return lookup_join(asked, named, [id_column], "left")
+
+
 def request_forecasts(
     requests: DataFrame,
     models: DataFrame,

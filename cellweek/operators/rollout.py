@@ -31,14 +31,29 @@ def _predictions(season: int) -> Column:
             + F.col("coef")[4] * future_dx(label, season)
         )
         level = dw + F.element_at(y, -1) + F.element_at(y, -season) - F.element_at(y, -(season + 1))
-        return F.struct(F.concat(y, F.array(level)).alias("y"), F.concat(w, F.array(dw)).alias("w"))
+        # Only one season of levels and differences is carried on; the forecasts are kept apart.
+        return F.struct(
+            F.slice(F.concat(y, F.array(level)), -(season + 1), season + 1).alias("y"),
+            F.slice(F.concat(w, F.array(dw)), -season, season).alias("w"),
+            F.concat(state["out"], F.array(level)).alias("out"),
+        )
 
-    start = F.struct(F.col("y_tail").alias("y"), F.col("w_tail").alias("w"))
+    start = F.struct(
+        F.col("y_tail").alias("y"), F.col("w_tail").alias("w"), F.array().cast("array<double>").alias("out")
+    )
     return F.aggregate(
         F.sequence(F.lit(1), F.size("_weeks")),
         start,
         step,
-        lambda s: F.slice(s["y"], F.size("y_tail") + 1, F.size("_weeks")),
+        lambda s: s["out"],
+    )
+
+
+def _trend() -> Column:
+    """The straight line at every future week."""
+    origin = F.lit("1970-01-04").cast("date")
+    return F.transform(
+        "_weeks", lambda d: F.col("trend_intercept") + F.col("trend_slope") * (F.datediff(d, origin) / 7)
     )
 
 
@@ -55,7 +70,7 @@ def forecast_arrays(models: DataFrame, season: int, until: str) -> DataFrame:
         trained(models)
         .where(steps > 0)
         .withColumn("_weeks", weeks)
-        .withColumn("predicted", _predictions(season))
+        .withColumn("predicted", F.when(F.col("model") == "trend", _trend()).otherwise(_predictions(season)))
         .withColumnRenamed("_weeks", "weeks")
     )
 

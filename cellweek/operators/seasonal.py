@@ -53,8 +53,8 @@ def add_lags(df: DataFrame, keys: list[str], column: str, lags: list[int]) -> Da
     return df.withColumns({f"{column}_{k}": F.lag(column, k).over(w) for k in lags})
 
 
-def cross_products(df: DataFrame, keys: list[str], terms: list[str], target: str) -> DataFrame:
-    """Per series: n, the upper triangle of X'X row by row, and X'y, over complete rows."""
+def product_sums(terms: list[str], target: str) -> list[Column]:
+    """Aggregates n_obs, xx (the upper triangle of X'X row by row) and xy, over complete rows."""
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*terms, target]])
 
     def total(a: str, b: str) -> Column:
@@ -63,11 +63,16 @@ def cross_products(df: DataFrame, keys: list[str], terms: list[str], target: str
         )
 
     triangle = [total(a, b) for i, a in enumerate(terms) for b in terms[i:]]
-    return df.groupBy(*keys).agg(
+    return [
         F.count(F.when(complete, 1)).alias("n_obs"),
         F.array(*triangle).alias("xx"),
         F.array(*[total(t, target) for t in terms]).alias("xy"),
-    )
+    ]
+
+
+def cross_products(df: DataFrame, keys: list[str], terms: list[str], target: str) -> DataFrame:
+    """The sums of each series."""
+    return df.groupBy(*keys).agg(*product_sums(terms, target))
 
 
 def solve_least_squares(terms: int):
@@ -143,13 +148,18 @@ def fit_seasonal(
 ) -> DataFrame:
     """Parameter table, one row per series.
 
-    status is ok, degenerate (no usable rows or nothing left to explain: the coefficients are
-    zero and the forecast repeats trend and season), too_short, or failed.
+    model is seasonal where the series has at least as many complete rows as terms, else trend:
+    a straight line over the weeks, or the mean of a single week. status is ok, degenerate
+    (nothing is left to explain: the coefficients are zero and the forecast repeats trend and
+    season), too_short (fewer than min_weeks weeks), or failed.
     """
-    need = max(min_weeks, season + 2)
     staged = second_stage(residuals(series, keys, season), keys, season)
-    sums = cross_products(staged, keys, MODEL_TERMS, "w")
-    tails = staged.groupBy(*keys).agg(
+    week = F.datediff("week_end", F.lit("1970-01-04").cast("date")) / 7
+    solved = staged.groupBy(*keys).agg(
+        *product_sums(MODEL_TERMS, "w"),
+        F.coalesce(F.regr_slope(F.col("y").cast("double"), week), F.lit(0.0)).alias("trend_slope"),
+        F.avg(F.col("y").cast("double")).alias("_mean_y"),
+        F.avg(week).alias("_mean_week"),
         F.count(F.lit(1)).alias("n_weeks"),
         F.min("week_end").alias("first_week"),
         F.max("week_end").alias("last_week"),
@@ -157,24 +167,28 @@ def fit_seasonal(
         _tail("w", season).alias("w_tail"),
         _tail("e", season).alias("e_tail"),
     )
-    solved = tails.join(sums, keys).withColumn("coef", solve_least_squares(len(MODEL_TERMS))("xx", "xy"))
+    solved = solved.withColumn("coef", solve_least_squares(len(MODEL_TERMS))("xx", "xy"))
+    model = F.when(F.col("n_obs") >= len(MODEL_TERMS), "seasonal").otherwise("trend")
+    intercept = F.col("_mean_y") - F.col("trend_slope") * F.col("_mean_week")
     finite = ~F.exists("coef", lambda c: c.isNull() | F.isnan(c))
     flat = F.forall("coef", lambda c: c == 0)
     status = (
-        F.when(F.col("n_weeks") < need, "too_short")
+        F.when(F.col("n_weeks") < min_weeks, "too_short")
+        .when(F.col("model") == "trend", "ok")
         .when(~finite, "failed")
         .when(flat, "degenerate")
         .otherwise("ok")
     )
     message = F.when(
         F.col("status") == "too_short",
-        F.concat(F.col("n_weeks").cast("string"), F.lit(f" weeks of data, {need} needed")),
+        F.concat(F.col("n_weeks").cast("string"), F.lit(f" weeks of data, {min_weeks} needed")),
     ).when(F.col("status") == "failed", F.lit("the least-squares system has no finite solution"))
     return (
-        solved.withColumn("status", status)
+        solved.withColumns({"model": model, "trend_intercept": intercept})
+        .withColumn("status", status)
         .withColumn("error_message", message)
         .withColumn("season", F.lit(season))
-        .drop("xx", "xy")
+        .drop("xx", "xy", "_mean_y", "_mean_week")
     )
 
 

@@ -2,7 +2,8 @@
 
 spark-submit cellweek/plans/cluster_forecast.py <input csv> <output folder>
 
-Rows are identified by their ID column, so labels are joined by key and not by position.
+Every cleaned row gets a key of its own, because incident IDs can repeat or be missing; labels
+are joined by that key and not by position, and the ID stays as incident_id.
 """
 
 import sys
@@ -13,8 +14,6 @@ from pyspark.sql import functions as F
 from cellweek.operators.clean import clean_projected
 from cellweek.operators.clusters import attach_labels, cluster_report, without_noise
 from cellweek.operators.dbscan import dbscan
-from cellweek.operators.density import density_levels
-from cellweek.operators.nearest import k_distance
 from cellweek.operators.seasonal import fit_seasonal, training_outcomes
 from cellweek.operators.weekly import weekly_series
 from cellweek.plans.session import job_session
@@ -22,10 +21,7 @@ from cellweek.schema import (
     EPS,
     MIN_POINTS,
     MIN_WEEKS_CLUSTER,
-    NEIGHBOURS,
-    OMEGA,
     SEASON_CLUSTER,
-    SMOOTHING,
 )
 from cellweek.sources.incidents import read_incident_csv, read_table, write_csv, write_table
 from cellweek.sources.scratch import materialize
@@ -33,19 +29,22 @@ from cellweek.sources.scratch import materialize
 KEYS = ["hotspot_id"]
 
 
-def as_points(cleaned: DataFrame) -> DataFrame:
-    return cleaned.select(
-        F.col("ID").cast("bigint").alias("id"),
-        F.col("X Coordinate").alias("x"),
-        F.col("Y Coordinate").alias("y"),
+def keyed(cleaned: DataFrame) -> DataFrame:
+    """The rows stored with id, a 64-bit key that is unique and stays once written."""
+    return materialize(
+        cleaned.withColumn("incident_id", F.col("ID").cast("bigint")).drop("ID").withColumn("id", F.monotonically_increasing_id())
     )
 
 
-def density_profile(
-    points: DataFrame, k: int = NEIGHBOURS, s: int = SMOOTHING, omega: float = OMEGA
-) -> DataFrame:
-    """Density levels of the points; a diagnostic that the labels do not depend on."""
-    return density_levels(k_distance(points, k), s, omega)
+def as_points(rows: DataFrame) -> DataFrame:
+    return rows.select("id", F.col("X Coordinate").alias("x"), F.col("Y Coordinate").alias("y"))
+
+
+def store_labels(rows: DataFrame, path: str, eps: float = EPS, min_pts: int = MIN_POINTS) -> DataFrame:
+    """Writes id, incident_id and cluster of every row, and reads them back."""
+    labels = dbscan(as_points(rows), eps, min_pts)
+    write_table(rows.select("id", "incident_id").join(labels, "id"), path)
+    return read_table(rows.sparkSession, path)
 
 
 def run(
@@ -58,10 +57,9 @@ def run(
     min_weeks: int = MIN_WEEKS_CLUSTER,
 ) -> None:
     """Writes labels, hotspots, weekly_series, models and training_results."""
-    cleaned = materialize(clean_projected(read_incident_csv(spark, source, lenient=True)).dropna(subset=["ID"]))
-    write_table(dbscan(as_points(cleaned), eps, min_pts), f"{folder}/labels")
-    rows = cleaned.select(F.col("ID").cast("bigint").alias("id"), "Date", "Latitude", "Longitude", "is_holiday")
-    labelled = attach_labels(rows, read_table(spark, f"{folder}/labels"))
+    cleaned = keyed(clean_projected(read_incident_csv(spark, source, lenient=True)))
+    labels = store_labels(cleaned, f"{folder}/labels", eps, min_pts).select("id", "cluster")
+    labelled = attach_labels(cleaned.select("id", "Date", "Latitude", "Longitude", "is_holiday"), labels)
     write_table(cluster_report(labelled), f"{folder}/hotspots")
     members = without_noise(labelled).withColumn("hotspot_id", F.col("cluster").cast("bigint"))
     series = weekly_series(members, KEYS, "Date", F.col("is_holiday"))

@@ -1,6 +1,6 @@
 """CSV to Parquet.
 
-spark-submit cellweek/plans/convert.py <input csv> <output parquet>
+spark-submit cellweek/plans/convert.py <input csv> <output parquet> [partition column ...]
 """
 
 import sys
@@ -17,6 +17,6 @@ def convert(spark: SparkSession, source: str, target: str, partition_by: list[st
 
 
 if __name__ == "__main__":
-    if len(sys.argv) != 3:
-        sys.exit("usage: convert.py <input csv> <output parquet>")
-    convert(job_session("cellweek-convert"), sys.argv[1], sys.argv[2])
+    if len(sys.argv) < 3:
+        sys.exit("usage: convert.py <input csv> <output parquet> [partition column ...]")
+    convert(job_session("cellweek-convert"), sys.argv[1], sys.argv[2], sys.argv[3:] or None)

@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 # The 22 columns of an incident file, in file order.
 INCIDENT_SCHEMA = T.StructType(
     [
-        T.StructField("ID", T.IntegerType()),
+        T.StructField("ID", T.LongType()),
         T.StructField("Case Number", T.StringType()),
         T.StructField("Date", T.StringType()),
         T.StructField("Block", T.StringType()),
@@ -30,6 +30,9 @@ INCIDENT_SCHEMA = T.StructType(
     ]
 )
 
+# The columns of cleaned incidents, in order.
+CLEAN_COLUMNS = ["Timestamp", "Latitude", "Longitude", "Primary Type", "Year", "Week"]
+
 CORRUPT = "_corrupt_record"
 
 # Numeric columns that may hold text in an untyped file.

@@ -31,11 +31,6 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return reader.parquet(path)
 
 
-def in_memory(spark: SparkSession, rows, schema) -> DataFrame:
-    """Relation from a few driver-side rows, such as an extra list of holidays."""
-    return spark.createDataFrame(rows, schema)
-
-
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Replace a Parquet table. The rebalance hint lets Spark choose even file sizes."""
     writer = df.hint("rebalance").write.mode("overwrite")

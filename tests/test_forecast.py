@@ -96,6 +96,20 @@ def test_coefficients_and_forecasts_equal_a_direct_computation(spark):
         assert np.allclose(rolled[k], out, atol=1e-6)
 
 
+def test_short_series_follow_their_trend(spark):
+    lengths = [1, 2, 30, 54, 100, 158, 159, 170]
+    made = series(spark, {str(n): [3 * i + 2 for i in range(n)] for n in lengths})
+    models = seasonal.fit_seasonal(made, KEYS, 52)
+    got = {int(r.key): r for r in models.collect()}
+    assert {n: r.model for n, r in got.items()} == {n: "seasonal" if r.n_obs >= 5 else "trend" for n, r in got.items()}
+    assert got[159].model == "trend" and got[170].model == "seasonal"
+    assert all(r.training_successful for r in seasonal.training_outcomes(models, KEYS).collect())
+    ahead = forecast(models.where("model = 'trend'"), 52, 3)
+    for n in lengths[1:7]:
+        assert np.allclose(ahead[str(n)], [3 * i + 2 for i in range(n, n + 3)])
+    assert np.allclose(ahead["1"], [2, 2, 2])
+
+
 def test_short_series_are_reported(spark):
     models = seasonal.fit_seasonal(series(spark, {"a": [1, 2, 3], "b": [1] * 30}), KEYS, 4, min_weeks=20)
     got = {r.key: r for r in seasonal.training_outcomes(models, KEYS).collect()}

@@ -58,6 +58,40 @@ def test_grid_job_and_answers(spark, tmp_path):
     assert reports.count() == 2 and statuses.where("code = 200").count() == 2
 
 
+def test_short_ids_that_collide_stay_apart(spark, tmp_path):
+    parquet, out = str(tmp_path / "incidents"), str(tmp_path / "out")
+    convert.convert(spark, incident_file(tmp_path), parquet, ["Year"])
+    assert (tmp_path / "incidents" / "Year=2023").is_dir()
+    grid_forecast.run(spark, parquet, out, q=0.95, season=4)
+    models = spark.read.parquet(f"{out}/models").withColumn("hotspot_id_combined", F.lit(7).cast("bigint"))
+    both = str(tmp_path / "both")
+    models.write.parquet(f"{both}/models")
+    reports, status = serve.forecast(spark, both, 7, "2024-07-01", "2024-07-31", season=4)
+    cells = {(r.hotspot_id_x, r.hotspot_id_y) for r in status.collect()}
+    assert cells == {(r.hotspot_id_x, r.hotspot_id_y) for r in models.collect()} and status.count() == 2
+    assert [r.hotspot_id for r in reports.collect()] == [7, 7]
+
+
+def test_cluster_job_keeps_every_row(spark, tmp_path):
+    lines = open(incident_file(tmp_path)).read().splitlines()
+    for i in range(1, 31):
+        first, rest = lines[i].split(",", 1)
+        lines[i] = ",".join([["", "5077", str(2**31 + i)][i % 3], rest])
+    path = tmp_path / "ids.csv"
+    path.write_text("\n".join(lines) + "\n")
+    cluster_forecast.run(spark, str(path), str(tmp_path / "out"))
+    labels = spark.read.parquet(str(tmp_path / "out" / "labels"))
+    assert labels.count() == len(lines) - 1 == labels.select("id").distinct().count()
+    assert labels.where("incident_id IS NULL").count() == 10 and labels.where("incident_id = 5077").count() == 10
+    assert labels.where(f"incident_id > {2**31}").count() == 10
+    asked = str(tmp_path / "asked")
+    models = spark.read.parquet(str(tmp_path / "out" / "models"))
+    models.selectExpr("hotspot_id AS request_id", "hotspot_id", "date '2024-09-01' AS start_date", "date '2024-09-30' AS end_date").write.parquet(asked)
+    serve.run(spark, str(tmp_path / "out"), asked, str(tmp_path / "answers"), "cluster")
+    assert spark.read.parquet(str(tmp_path / "answers" / "statuses")).where("code = 200").count() == models.count() > 0
+    assert spark.read.parquet(str(tmp_path / "answers" / "hotspots")).count() > 0
+
+
 def test_cluster_job(spark, tmp_path):
     out = str(tmp_path / "out")
     cluster_forecast.run(spark, incident_file(tmp_path), out)
