@@ -243,7 +243,10 @@ def train(encoded: DataFrame, share: np.ndarray, rounds: int = ROUNDS, states: i
     spark = encoded.sparkSession
     model = first_model(share, states)
     rows = encoded.where("NOT held_out").select("row", "classes")
-    sample = [bytes(r["classes"]) for r in rows.orderBy(F.xxhash64("row"), "row").limit(START_TEXTS).collect()]
+    # About START_TEXTS rows by a hash, so what reaches the driver does not grow with the tasks.
+    share_of = min(1.0, START_TEXTS / max(1, rows.count()))
+    chosen = rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share_of * (1 << 30)))
+    sample = [bytes(r["classes"]) for r in chosen.orderBy("row").collect()]
     if not sample:
         return model
     for _ in range(START_ROUNDS):
