@@ -1,6 +1,6 @@
 """Helpers shared by the operators: Arrow passes, checked broadcasts and text columns."""
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +46,20 @@ def slices(sizes: list[int], most: int = STEP_BYTES) -> Iterator[tuple[int, int]
         yield start, len(sizes)
 
 
+def bounded_groups(rows: Iterable, size: Callable, most: int) -> Iterator[list]:
+    """Consecutive rows in groups of at most `most` in total size, or of one larger row."""
+    group, total = [], 0
+    for row in rows:
+        n = size(row)
+        if group and total + n > most:
+            yield group
+            group, total = [], 0
+        group.append(row)
+        total += n
+    if group:
+        yield group
+
+
 def add_columns(
     docs: DataFrame, text: str, fields: list[T.StructField], make: Callable[[list[bytes]], list[list]], keep: list[str]
 ) -> DataFrame:
@@ -86,4 +100,4 @@ def without_ids(docs: DataFrame, drop: DataFrame, key: str) -> DataFrame:
     return docs.join(hits.select(key), key, "left_anti").select(*docs.columns)
 
 
-__all__ = ["add_columns", "ascii_lower", "is_small", "materialize", "read_table", "salted_join", "slices", "text_column", "utf8", "without_ids"]
+__all__ = ["add_columns", "ascii_lower", "bounded_groups", "is_small", "materialize", "read_table", "salted_join", "slices", "text_column", "utf8", "without_ids"]

@@ -42,7 +42,7 @@ WITH d AS MATERIALIZED (
   SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
          CASE WHEN contains(text, ' | ') THEN 'table' WHEN regexp_matches(text, '[#$%&*!]{{2,}}') THEN 'noisy'
               WHEN contains(text, '@') THEN 'contact' ELSE 'prose' END AS topic,
-         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens
   FROM documents
 ), w0 AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens, 1.0::DOUBLE AS w FROM d GROUP BY ALL),
 n AS (SELECT sum(tokens)::DOUBLE AS total FROM w0),
@@ -96,8 +96,89 @@ QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC,
 """
 
 
+_TOPK_SEARCH = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS parts FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.parts, c.parts) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER s AS INTEGER) AS rank, vec_id, score FROM scored
+WINDOW s AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER s <= 5
+"""
+
+_SPELLING = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1
+    THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+), found AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id,
+         translate(unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), runs AS (SELECT id, run, count(*) AS c, hex(encode(id || ':' || run)) AS bytes FROM found GROUP BY id, run),
+coded AS (
+  SELECT run, c, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(0, length(bytes), 2),
+    lambda i: ('0x' || substr(bytes, i + 1, 2))::BIGINT)),
+    lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1])), 4294967295) AS h
+  FROM runs, crc_table
+), counted AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2)
+              ELSE run END AS word, c FROM coded
+), v AS MATERIALIZED (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM counted WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3
+), less AS MATERIALIZED (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, CAST(unnest(range(1, length(word) + 1)) AS INTEGER) AS i FROM v)
+), pairs AS (
+  SELECT a.word, b.word AS other FROM less a JOIN less b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT word, rest FROM less WHERE rest IN (SELECT word FROM v)
+  UNION SELECT rest, word FROM less WHERE rest IN (SELECT word FROM v)
+), around AS (
+  SELECT p.word, count(*) AS n_near, first(o.word ORDER BY o.n DESC, encode(o.word)) AS best, max(o.n) AS best_n
+  FROM pairs p JOIN v o ON o.word = p.other GROUP BY p.word
+), formed AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN best END AS form,
+         CASE WHEN best_n >= 2 * n THEN best_n END AS form_n
+  FROM v LEFT JOIN around USING (word)
+), chain AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL
+), roots AS (SELECT c.word, c.root FROM chain c JOIN formed f ON f.word = c.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN roots USING (word)
+"""
+
+_TREAP_SEARCH = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), total AS (SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS all_terms FROM d WHERE len(terms) > 0),
+q AS (
+  SELECT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), asked AS (SELECT item_id, text, term, count(*) AS times FROM q GROUP BY ALL),
+tf AS MATERIALIZED (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tf CROSS JOIN total GROUP BY term, docs
+), sized AS (
+  SELECT row, doc_id, 100 - 25 + (25 * len(terms) * docs) // all_terms AS m FROM d CROSS JOIN total WHERE len(terms) > 0
+), scored AS (
+  SELECT item_id, text, row, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN sized USING (row) GROUP BY item_id, text, row, doc_id
+)
+SELECT item_id, CAST(row_number() OVER s AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW s AS (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) QUALIFY row_number() OVER s <= 20
+"""
+
+
 ORACLES: dict[str, str] = {
     "op4_line_dedup": _LINE_DEDUP,
     "op6_mix_sources": _mix_sources(),
     "op9_decontaminate": _decontaminate(),
+    "op11_topk_search": _TOPK_SEARCH,
+    "op12_spelling": _SPELLING,
+    "op13_treap_search": _TREAP_SEARCH,
 }

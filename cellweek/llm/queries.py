@@ -5,7 +5,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellweek.llm import chunk_prints, decontaminate, hmm, html_text, licenses, line_dedup, raking, secret_scan, simhash, toxicity
+from cellweek.llm import (
+    chunk_prints,
+    decontaminate,
+    hmm,
+    html_text,
+    licenses,
+    line_dedup,
+    raking,
+    secret_scan,
+    simhash,
+    spelling,
+    topk_search,
+    toxicity,
+    treap_search,
+)
 from cellweek.llm.common import read_table
 
 
@@ -75,6 +89,18 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("consistent", F.round("consistent", 6))
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"), least_letters=5, least=3, modulus=97)
+
+
+def op13_treap_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_hmm": op2_hmm,
@@ -86,4 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_decontaminate": op9_decontaminate,
     "op10_main_text": op10_main_text,
+    "op11_topk_search": op11_topk_search,
+    "op12_spelling": op12_spelling,
+    "op13_treap_search": op13_treap_search,
 }
