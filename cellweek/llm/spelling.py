@@ -48,9 +48,8 @@ CHUNK_BLOCKS = 4096
 ROUND_BYTES = 32 * 1024 * 1024
 # Edits that one step of a task hashes.
 STEP_EDITS = 1 << 20
-# Odd multipliers, from a mixing function and for the eight lanes of a block.
+# The odd multipliers of the mixing function.
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
-_LANES = np.arange(1, 16, 2, dtype=np.uint64) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)
 
 
 def runs(text: bytes) -> list[bytes]:
@@ -106,6 +105,10 @@ def place_values(places: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+# Unrelated odd multipliers, one for each 32-bit lane of a filter block.
+_LANES = place_values(np.arange(8), np.zeros(8)) & np.uint64(0xFFFFFFFF) | np.uint64(1)
+
+
 def letters_of(words: list[bytes]) -> np.ndarray:
     """Words of one length as a matrix of letter codes."""
     return np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
