@@ -254,16 +254,6 @@ ORACLES = {
         SELECT hotspot_id_x AS grid_x, hotspot_id_y AS grid_y, n >= 335 AS training_successful,
                CASE WHEN n < 335 THEN 'short series' END AS error_message
         FROM sizes""",
-    "model_lookup": f"""WITH {SPANS}
-        SELECT hotspot_id_x, hotspot_id_y, n_weeks, last_week FROM spans
-        ORDER BY hotspot_id_x, hotspot_id_y LIMIT 1""",
-    "forecast_by_id": f"""WITH {SPANS},
-        named AS (SELECT *, ((hotspot_id_x + hotspot_id_y) % 5 + 5) % 5 AS short_id FROM spans)
-        SELECT c_custkey AS request_id, c_custkey % 7 AS short_id, hotspot_id_x, hotspot_id_y,
-               CASE WHEN last_week IS NULL THEN 'not_found' ELSE 'ok' END AS status,
-               CASE WHEN last_week IS NULL THEN 0 ELSE
-                 date_diff('day', greatest(DATE '2002-03-03', last_week + 7), DATE '2002-04-28') // 7 + 1 END AS n_weeks
-        FROM customer LEFT JOIN named ON short_id = c_custkey % 7""",
     "trend_forecast": f"""WITH {SERIES},
         short AS (SELECT * FROM series QUALIFY row_number() OVER (PARTITION BY hotspot_id_x, hotspot_id_y ORDER BY week_end) <= 60),
         lines AS (
@@ -281,12 +271,6 @@ ORACLES = {
                CASE WHEN status = 'ok' THEN first_label END AS first_label,
                CASE WHEN status = 'ok' THEN last_label END AS last_label
         FROM resolved""",
-    "forecast_report_weeks": f"""WITH {REQUESTS},{AHEAD},
-        weeks AS (
-          SELECT request_id, CAST(unnest(generate_series(first_label, last_label, INTERVAL 7 DAY)) AS DATE) AS week_end
-          FROM resolved WHERE status = 'ok')
-        SELECT request_id, strftime(week_end, '%Y-%m-%d') AS date, coalesce(n, 0) > 0 AS is_holiday_week
-        FROM weeks LEFT JOIN ahead_weeks USING (week_end)""",
     "csv_parquet_roundtrip": f"""WITH {RAW}
         SELECT id, case_number, date_text, primary_type, x, latitude, longitude, location FROM raw""",
 }

@@ -225,6 +225,16 @@ def _models(spark, folder):
 def fit_seasonal(spark, folder):
     return _models(spark, folder).select(
         *SERIES, "status", "n_weeks", "n_obs", "last_week", F.posexplode("coef").alias("term", "value")
+    ).withColumn("value", F.round("value", 6))
+
+
+def seasonal_errors(spark, folder):
+    """The squared error of each fit, which is never above that of its linear start."""
+    return _models(spark, folder).where("model = 'seasonal'").select(
+        *SERIES,
+        "n_obs",
+        F.round("squared_error", 6).alias("squared_error"),
+        (F.col("squared_error") <= F.col("linear_error")).alias("not_worse"),
     )
 
 
@@ -246,13 +256,18 @@ def train_each(spark, folder):
 
 def forecast_weeks(spark, folder):
     models = _models(spark, folder).withColumn("until", F.lit("2001-12-31").cast("date"))
-    return rollout.forecast_rows(models, SERIES, SEASON_GRID, "until")
+    return rollout.forecast_rows(models, SERIES, SEASON_GRID, "until").withColumn("predicted", F.round("predicted", 6))
 
 
 def model_lookup(spark, folder):
-    models = _models(spark, folder)
+    """One model out of the stored table, found by the pair of its cell indexes."""
+    path = scratch_path(spark)
+    io.write_models(seasonal.fit_seasonal(_series(spark, folder), SERIES, SEASON_GRID), path, SERIES)
+    models = io.read_table(spark, path)
     first = models.agg(F.min(F.struct(*SERIES)).alias("cell")).first()["cell"]
-    return io.model_for(models, first[0], first[1]).select(*SERIES, "n_weeks", "last_week")
+    return io.model_for(models, first[0], first[1]).select(
+        *SERIES, "n_weeks", "last_week", F.round(F.col("coef")[0], 6).alias("ar"), F.round(F.col("coef")[1], 6).alias("sar")
+    )
 
 
 def forecast_by_id(spark, folder):
@@ -270,6 +285,7 @@ def forecast_by_id(spark, folder):
     return sliced.select(
         "request_id", "short_id", *SERIES, "status",
         F.coalesce(F.size("predicted"), F.lit(0)).cast("bigint").alias("n_weeks"),
+        F.round(F.aggregate("predicted", F.lit(0.0), lambda a, v: a + v), 6).alias("total"),
     )
 
 
@@ -308,17 +324,32 @@ def _reports(spark, folder):
     return requests.forecast_reports(sliced, "hotspot_id")
 
 
+def _report_rows(reports):
+    """The nested reports, one row per week."""
+    return reports.select("*", F.explode("forecast_breakdown").alias("b")).select(
+        "request_id", "hotspot_id",
+        F.col("forecast_period.start").alias("period_start"),
+        F.col("forecast_period.end").alias("period_end"),
+        "total_predicted_crimes", "b.date", "b.predicted_crimes", "b.is_holiday_week",
+    )
+
+
 def forecast_report(spark, folder):
-    return _reports(spark, folder)
+    return _report_rows(_reports(spark, folder))
 
 
 def forecast_report_json(spark, folder):
-    return requests.as_json(_reports(spark, folder))
+    """The reports written as JSON and parsed again."""
+    reports = _reports(spark, folder)
+    record = F.from_json("json", reports.schema)
+    return _report_rows(requests.as_json(reports).select(record.alias("r")).select("r.*"))
 
 
 def forecast_report_weeks(spark, folder):
-    """The weeks and holiday flags of the reports; the predictions are checked in the tests."""
-    return requests.report_lines(_reports(spark, folder)).select("request_id", "date", "is_holiday_week")
+    """The whole numbers that a reader sees."""
+    return requests.report_lines(_reports(spark, folder)).select(
+        "request_id", "date", "is_holiday_week", "total_shown", "shown"
+    )
 
 
 def csv_parquet_roundtrip(spark, folder):
@@ -455,6 +486,7 @@ QUERIES = {
         seasonal_features,
         seasonal_cross_products,
         fit_seasonal,
+        seasonal_errors,
         training_outcomes,
         train_each,
         forecast_weeks,

@@ -78,21 +78,6 @@ def is_holiday(day) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def holiday_days(first_day) -> Column:
-    """Number of holidays in the seven days that start at first_day."""
-    day = F.to_date(F.col(first_day) if isinstance(first_day, str) else first_day)
-    return F.aggregate(
-        F.sequence(day, F.date_add(day, 6)),
-        F.lit(0).cast("bigint"),
-        lambda n, d: n + is_holiday(d).cast("bigint"),
-    )
-
-
-def week_holiday_days(label) -> Column:
-    """Number of holidays in the Monday-to-Sunday week that ends at label."""
-    return holiday_days(F.date_sub(F.col(label) if isinstance(label, str) else label, 6))
-
-
 def calendar_between(years: DataFrame) -> DataFrame:
     """holiday_date for each row's first_year..last_year; no rows where they are NULL."""
     days = F.sequence(
@@ -119,3 +104,22 @@ def year_range(df: DataFrame, ts: str = "Timestamp") -> DataFrame:
 def calendar_of(df: DataFrame, ts: str = "Timestamp") -> DataFrame:
     """Holidays of all years that occur in the data."""
     return calendar_between(year_range(df, ts))
+
+
+def week_holidays(weeks: DataFrame, label: str = "week_end", ahead: bool = False) -> DataFrame:
+    """label, holiday_days: the weeks with holidays among the years of a table of Sunday labels.
+
+    The week ends at its label, or with ahead starts there. The calendar bounds the table: at
+    most a dozen rows for each year of the date range, so it is safe to broadcast.
+    """
+    day = F.col("holiday_date")
+    sunday = F.date_sub(day, F.weekday(F.date_add(day, 1))) if ahead else F.date_add(day, 6 - F.weekday(day))
+    years = weeks.agg((F.min(F.year(label)) - 1).alias("first_year"), (F.max(F.year(label)) + 1).alias("last_year"))
+    return calendar_between(years).groupBy(sunday.alias(label)).agg(F.count(F.lit(1)).alias("holiday_days"))
+
+
+def add_week_holidays(weeks: DataFrame, known: DataFrame, into: str, label: str = "week_end", ahead: bool = False) -> DataFrame:
+    """Adds the number of holidays of each week. known is a stored table with all labels or their span."""
+    table = week_holidays(known, label, ahead).withColumnRenamed("holiday_days", "_days")
+    joined = weeks.join(F.broadcast(table), label, "left")
+    return joined.withColumn(into, F.coalesce("_days", F.lit(0).cast("bigint"))).drop("_days")

@@ -3,8 +3,9 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellweek.functions.holidays import holiday_days, is_holiday
+from cellweek.functions.holidays import add_week_holidays, is_holiday
 from cellweek.operators.skew import lookup_join
+from cellweek.sources.scratch import materialize
 
 
 def flag_holidays(df: DataFrame, ts: str = "Timestamp") -> DataFrame:
@@ -27,7 +28,10 @@ def join_calendar(df: DataFrame, calendar: DataFrame, ts: str = "Timestamp") ->
 
 
 def weeks_ahead(spine: DataFrame, label: str = "week_end") -> DataFrame:
-    """Holiday days in the seven days that start at each week label, and the week's flag."""
-    return spine.withColumn("holiday_count", holiday_days(label)).withColumn(
-        "is_holiday_week", F.col("holiday_count") > 0
-    )
+    """Holidays in the seven days that start at each Sunday label, and the week's flag.
+
+    The spine is written once, for its rows and for the span of the holiday table.
+    """
+    stored = materialize(spine)
+    counted = add_week_holidays(stored, stored, "holiday_count", label, ahead=True)
+    return counted.withColumn("is_holiday_week", F.col("holiday_count") > 0)

@@ -3,9 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweek.functions.holidays import holiday_days
 from cellweek.functions.scalars import iso_day, round_cents, week_end, weeks_between
-from cellweek.operators.rollout import forecast_arrays, trained
+from cellweek.operators.rollout import forecast_blocks, trained
 from cellweek.operators.skew import lookup_join
 from cellweek.schema import DEFAULT_WINDOW_WEEKS
 from cellweek.sources.scratch import materialize
@@ -77,40 +76,54 @@ def request_forecasts(
     season: int,
     today: Column | None = None,
 ) -> DataFrame:
-    """Resolved requests with the arrays weeks and predicted, sliced to the window.
+    """Resolved requests with the arrays weeks, predicted and holiday_count of their windows.
 
-    Each series is rolled out once, to the latest date anyone asks for; a request then takes
-    its slice, so many requests for one hotspot cost no extra model work.
+    Each series is rolled out once, to the latest date anyone asks for. A request joins the
+    seasons that its window touches and takes its part of each, so many requests for one hotspot
+    cost no extra model work and no row holds more than the weeks asked for.
     """
-    resolved = materialize(resolve_requests(requests, models, keys, today))
-    horizon = resolved.where("status = 'ok'").groupBy(*keys).agg(F.max("end_date").alias("_until"))
-    rolled = forecast_arrays(models.join(horizon, keys), season, "_until").select(
-        *keys, "weeks", "predicted"
+    resolved = materialize(
+        resolve_requests(requests, models, keys, today).withColumn("_request", F.monotonically_increasing_id())
     )
-    joined = lookup_join(resolved, rolled, keys, "left")
-    ok = F.col("status") == "ok"
-    start = (F.datediff("first_label", F.element_at("weeks", 1)) / 7).cast("int") + 1
-    length = (F.datediff("last_label", "first_label") / 7).cast("int") + 1
-    return joined.withColumns(
-        {
-            "weeks": F.when(ok, F.slice("weeks", start, length)),
-            "predicted": F.when(ok, F.slice("predicted", start, length)),
-        }
+    weeks = lambda later, earlier: (F.datediff(later, earlier) / 7).cast("bigint")
+    first = weeks(F.col("first_label"), F.date_add("last_week", 7))
+    asked = resolved.where("status = 'ok'").select(
+        "_request", *keys, "end_date", first.alias("_first"), (first + weeks(F.col("last_label"), F.col("first_label"))).alias("_last")
+    )
+    horizon = asked.groupBy(*keys).agg(F.max("end_date").alias("_until"))
+    wanted = materialize(lookup_join(models, horizon, keys))
+    blocks = forecast_blocks(wanted, keys, season, "_until").drop("first_week").withColumnRenamed("block", "_block")
+    season_of = lambda week: F.floor(F.col(week) / season)
+    touched = asked.withColumn("_block", F.explode(F.sequence(season_of("_first"), season_of("_last"))))
+    joined = lookup_join(touched, blocks, [*keys, "_block"])
+    start = F.greatest(F.col("_first") - F.col("_block") * season, F.lit(0))
+    end = F.least(F.col("_last") - F.col("_block") * season, F.lit(season - 1))
+    part = lambda c: F.slice(c, (start + 1).cast("int"), (end - start + 1).cast("int")).alias(c)
+    parts = joined.groupBy("_request").agg(
+        F.array_sort(F.collect_list(F.struct("_block", part("predicted"), part("holiday_count")))).alias("_parts")
+    )
+    whole = lambda c: F.flatten(F.transform("_parts", lambda r: r[c])).alias(c)
+    sliced = parts.select("_request", whole("predicted"), whole("holiday_count"))
+    every_week = F.sequence("first_label", "last_label", F.expr("interval 7 days"))
+    return (
+        resolved.join(sliced, "_request", "left")
+        .withColumn("weeks", F.when(F.col("status") == "ok", every_week))
+        .drop("_request")
     )
 
 
 def forecast_reports(sliced: DataFrame, id_column: str) -> DataFrame:
     """hotspot_id, forecast_period, total_predicted_crimes, forecast_breakdown per request.
 
-    The total is rounded from the unrounded predictions.
+    The total is rounded from the unrounded predictions. The field names are fixed values.
     """
     total = F.aggregate("predicted", F.lit(0.0), lambda a, v: a + v)
     breakdown = F.transform(
-        F.arrays_zip("weeks", "predicted"),
+        F.arrays_zip("weeks", "predicted", "holiday_count"),
         lambda r: F.struct(
             iso_day(r["weeks"]).alias("date"),
             round_cents(r["predicted"]).alias("predicted_crimes"),
-            (holiday_days(r["weeks"]) > 0).alias("is_holiday_week"),
+            (r["holiday_count"] > 0).alias("is_holiday_week"),
         ),
     )
     period = F.struct(

@@ -3,11 +3,12 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellweek.functions.holidays import is_holiday, week_holiday_days
+from cellweek.functions.holidays import add_week_holidays, is_holiday
 from cellweek.functions.scalars import week_end
 from cellweek.operators.grid import CELL, assign_cells, hotspots_of
 from cellweek.operators.skew import lookup_join
 from cellweek.schema import CELL_SIZE, HOT_QUANTILE
+from cellweek.sources.scratch import materialize
 
 
 def weekly_counts(df: DataFrame, keys: list[str], ts: str = "Timestamp", holiday: Column | None = None) -> DataFrame:
@@ -41,14 +42,17 @@ def fill_weeks(weekly: DataFrame, keys: list[str], measures: list[str]) -> DataF
 
 
 def weekly_series(df: DataFrame, keys: list[str], ts: str = "Timestamp", holiday: Column | None = None) -> DataFrame:
-    """keys, week_end, y, holiday_incidents, holiday_days with no missing weeks."""
-    return with_holiday_days(
-        fill_weeks(weekly_counts(df, keys, ts, holiday), keys, ["y", "holiday_incidents"])
-    )
+    """keys, week_end, y, holiday_incidents, holiday_days with no missing weeks.
+
+    The counts are written first: they give the rows and the span of the holiday table.
+    """
+    counts = materialize(weekly_counts(df, keys, ts, holiday))
+    return with_holiday_days(fill_weeks(counts, keys, ["y", "holiday_incidents"]), counts)
 
 
-def with_holiday_days(series: DataFrame) -> DataFrame:
-    return series.withColumn("holiday_days", week_holiday_days("week_end"))
+def with_holiday_days(series: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds the holidays of each Monday-to-Sunday week; known is a stored table that spans the weeks."""
+    return add_week_holidays(series, known, "holiday_days")
 
 
 def cell_weeks(incidents: DataFrame, size: float = CELL_SIZE) -> DataFrame:
@@ -62,7 +66,7 @@ def hotspots_from_weeks(weeks: DataFrame, q: float = HOT_QUANTILE, relative_erro
 
 
 def hotspot_series_from_weeks(weeks: DataFrame, hotspots: DataFrame) -> DataFrame:
-    """Weekly series of the hotspot cells, from the cell-week table."""
+    """Weekly series of the hotspot cells, from the stored cell-week table."""
     lookup = hotspots.select(
         F.col("hotspot_id_x").alias("grid_x"), F.col("hotspot_id_y").alias("grid_y")
     )
@@ -72,7 +76,7 @@ def hotspot_series_from_weeks(weeks: DataFrame, hotspots: DataFrame) -> DataFram
         .withColumnRenamed("grid_y", "hotspot_id_y")
     )
     return with_holiday_days(
-        fill_weeks(named, ["hotspot_id_x", "hotspot_id_y"], ["y", "holiday_incidents"])
+        fill_weeks(named, ["hotspot_id_x", "hotspot_id_y"], ["y", "holiday_incidents"]), weeks
     )
 
 

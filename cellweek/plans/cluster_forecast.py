@@ -23,7 +23,7 @@ from cellweek.schema import (
     MIN_WEEKS_CLUSTER,
     SEASON_CLUSTER,
 )
-from cellweek.sources.incidents import read_incident_csv, read_table, write_csv, write_table
+from cellweek.sources.incidents import read_incident_csv, read_table, write_csv, write_models, write_table
 from cellweek.sources.scratch import materialize
 
 KEYS = ["hotspot_id"]
@@ -65,7 +65,7 @@ def run(
     series = weekly_series(members, KEYS, "Date", F.col("is_holiday"))
     write_table(series, f"{folder}/weekly_series")
     series = read_table(spark, f"{folder}/weekly_series")
-    write_table(fit_seasonal(series, KEYS, season, min_weeks), f"{folder}/models")
+    write_models(fit_seasonal(series, KEYS, season, min_weeks), f"{folder}/models", KEYS)
     write_csv(training_outcomes(read_table(spark, f"{folder}/models"), KEYS), f"{folder}/training_results")
 
 

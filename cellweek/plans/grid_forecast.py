@@ -16,7 +16,7 @@ from cellweek.operators.seasonal import fit_seasonal, training_outcomes
 from cellweek.operators.weekly import cell_weeks, hotspot_series_from_weeks, hotspots_from_weeks
 from cellweek.plans.session import job_session
 from cellweek.schema import CELL_SIZE, HOT_QUANTILE, INCIDENT_SCHEMA, SEASON_GRID
-from cellweek.sources.incidents import read_table, write_csv, write_table
+from cellweek.sources.incidents import read_table, write_csv, write_models, write_table
 from cellweek.sources.scratch import materialize
 
 KEYS = ["hotspot_id_x", "hotspot_id_y"]
@@ -40,7 +40,7 @@ def run(
     write_table(hotspot_series_from_weeks(weeks, hotspots), f"{folder}/weekly_series")
     series = read_table(spark, f"{folder}/weekly_series")
     models = fit_seasonal(series, KEYS, season, min_weeks).withColumn("hotspot_id_combined", combined_id(*KEYS))
-    write_table(models, f"{folder}/models")
+    write_models(models, f"{folder}/models", KEYS)
     write_csv(training_outcomes(read_table(spark, f"{folder}/models"), KEYS), f"{folder}/training_results")
 
 

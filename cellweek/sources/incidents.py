@@ -6,6 +6,9 @@ from pyspark.sql import types as T
 
 from cellweek.schema import CORRUPT, INCIDENT_SCHEMA, lenient_schema
 
+# Models in one row group of the model table.
+MODEL_ROWS = 10_000
+
 
 def read_incident_csv(
     spark: SparkSession, path: str, keep_corrupt: bool = False, lenient: bool = False
@@ -44,6 +47,21 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 
 
+def write_models(models: DataFrame, path: str, keys: list[str], ids: tuple = ("hotspot_id_combined",), rows: int = MODEL_ROWS) -> None:
+    """Replace the model table so that a lookup reads few rows.
+
+    Files are ranges of the keys, sorted, in row groups of a bounded number of rows: their
+    statistics lead a lookup by key to one group. Bloom filters of the keys and of the short ids
+    let the other groups be skipped where the statistics cannot tell.
+    """
+    blooms = [*keys, *(c for c in ids if c in models.columns)]
+    writer = models.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite")
+    writer = writer.option("parquet.block.row.count.limit", rows).option("parquet.page.row.count.limit", rows)
+    for c in blooms:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", rows)
+    writer.parquet(path)
+
+
 def model_for(models: DataFrame, x: int, y: int) -> DataFrame:
     """Fitted parameters of one cell; the filter reaches the Parquet scan."""
     return models.where((F.col("hotspot_id_x") == x) & (F.col("hotspot_id_y") == y))

@@ -89,10 +89,14 @@ def test_older_rules(spark):
 
 
 def test_holiday_counts_of_weeks(spark):
-    label = F.lit("2023-12-31").cast("date")
-    assert one(spark, holidays.week_holiday_days(label)) == 1
-    assert one(spark, holidays.holiday_days(label)) == 1
-    assert one(spark, holidays.holiday_days(F.lit("2022-12-25").cast("date"))) == 2
+    labels = [dt.date(2020, 1, 5) + dt.timedelta(weeks=k) for k in range(300)]
+    weeks = spark.createDataFrame([(d,) for d in labels], "week_end date")
+    closed = {r.holiday_date for r in holidays.holiday_calendar(spark, 2019, 2026).collect()}
+    for ahead, steps in ((False, range(-6, 1)), (True, range(7))):
+        got = {r.week_end: r.n for r in holidays.add_week_holidays(weeks, weeks, "n", ahead=ahead).collect()}
+        assert got == {d: sum(d + dt.timedelta(k) in closed for k in steps) for d in labels}
+    assert got[dt.date(2022, 12, 25)] == 2 and got[dt.date(2023, 12, 31)] == 1
+    assert holidays.add_week_holidays(weeks.limit(0), weeks.limit(0), "n").count() == 0
 
 
 def test_calendar_of_empty_data(spark):

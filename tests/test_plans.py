@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cellweek.plans import cluster_forecast, convert, grid_forecast, serve
 from cellweek.schema import INCIDENT_SCHEMA
+from cellweek.sources import incidents as io
 
 HEADER = ",".join(f.name for f in INCIDENT_SCHEMA)
 
@@ -104,3 +105,43 @@ def test_cluster_job(spark, tmp_path):
     from cellweek.operators.rollout import forecast_rows
 
     assert forecast_rows(until, ["hotspot_id"], 4, "until").where("predicted IS NULL").isEmpty()
+
+
+def scanned_rows(df):
+    """Rows that the Parquet scans of an executed query put out."""
+    df.collect()
+    node = df._jdf.queryExecution().executedPlan()
+    plans, total = [node], 0
+    while plans:
+        p = plans.pop()
+        name = p.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            plans.append(p.executedPlan())
+            continue
+        if name.startswith("Scan parquet"):
+            total += p.metrics().apply("numOutputRows").value()
+        children = p.children()
+        plans += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_a_model_lookup_reads_one_row_group(spark, tmp_path):
+    path = str(tmp_path / "models")
+    n = 40_000
+    models = spark.range(n).select(
+        (F.col("id") * 7919 % n).alias("hotspot_id_x"),
+        (F.col("id") % 5).alias("hotspot_id_y"),
+        (F.xxhash64("id") % 1_000_000_007).alias("hotspot_id_combined"),
+        F.rand(1).alias("coef"),
+    )
+    io.write_models(models, path, grid_forecast.KEYS, rows=1000)
+    stored = io.read_table(spark, path)
+    wanted = stored.where("hotspot_id_x = 12345").first()
+    found = io.model_for(stored, wanted.hotspot_id_x, wanted.hotspot_id_y)
+    assert "EqualTo(hotspot_id_x,12345)" in found._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= scanned_rows(found) <= 1000 and found.first() == wanted
+    by_id = io.models_with_id(stored, wanted.hotspot_id_combined)
+    assert "EqualTo(hotspot_id_combined" in by_id._jdf.queryExecution().executedPlan().toString()
+    # The ids are spread over all groups, so only the Bloom filters can tell; some are wrong.
+    assert 1 <= scanned_rows(by_id) <= 5000 and by_id.first() == wanted
+    assert scanned_rows(io.models_with_id(stored, -5)) <= 5000
