@@ -33,7 +33,7 @@ raw AS (
               ELSE floor(o_totalprice) END AS x,
          floor(o_totalprice) AS y,
          CASE WHEN o_totalprice > 497000 THEN NULL WHEN o_totalprice > 494000 THEN 0
-              ELSE lat END AS latitude,
+              WHEN o_totalprice BETWEEN 300000 AND 310000 THEN 'nan'::DOUBLE ELSE lat END AS latitude,
          CASE WHEN o_totalprice BETWEEN 490000 AND 494000 THEN 0 ELSE lon END AS longitude,
          '(' || c_mktsegment || ', ' || o_orderstatus || ')' AS location
   FROM timed
@@ -189,13 +189,13 @@ ORACLES = {
     "clean_incidents": f"""WITH {RAW}
         SELECT ts AS "Timestamp", latitude AS "Latitude", longitude AS "Longitude",
                primary_type, CAST(year(ts) AS INTEGER) AS "Year", CAST(week(ts) AS INTEGER) AS "Week"
-        FROM parsed WHERE ts IS NOT NULL AND latitude <> 0 AND longitude <> 0""",
+        FROM parsed WHERE ts IS NOT NULL AND NOT isnan(latitude) AND latitude <> 0 AND longitude <> 0""",
     "clean_projected": f"""WITH {RAW},{_holidays(WIDE_YEARS)}
         SELECT id, ts, x, y, CAST(ts AS DATE) IN (SELECT holiday_date FROM holidays) AS is_holiday
-        FROM parsed WHERE ts IS NOT NULL AND x IS NOT NULL AND latitude IS NOT NULL""",
+        FROM parsed WHERE ts IS NOT NULL AND x IS NOT NULL AND NOT isnan(latitude)""",
     "clean_row_counts": f"""WITH {RAW}
         SELECT count(*) AS raw_rows,
-               count(*) FILTER (WHERE ts IS NOT NULL AND latitude <> 0 AND longitude <> 0) AS clean_rows
+               count(*) FILTER (WHERE ts IS NOT NULL AND NOT isnan(latitude) AND latitude <> 0 AND longitude <> 0) AS clean_rows
         FROM parsed""",
     "first_rows": f"WITH {INCIDENTS} SELECT id, ts AS Timestamp FROM incidents ORDER BY id LIMIT 5",
     "parse_timestamp": f"""WITH {RAW}
@@ -272,11 +272,18 @@ ORACLES = {
                CASE WHEN status = 'ok' THEN last_label END AS last_label
         FROM resolved""",
     "csv_parquet_roundtrip": f"""WITH {RAW}
-        SELECT id, case_number, date_text, primary_type, x, latitude, longitude, location FROM raw""",
+        SELECT id, case_number, date_text, primary_type, x, CASE WHEN NOT isnan(latitude) THEN latitude END AS latitude,
+               isnan(latitude) AS not_a_number, longitude, location FROM raw""",
 }
 ORACLES["holiday_join_calendar"] = ORACLES["holiday_flag"]
 ORACLES["csv_lenient"] = ORACLES["clean_projected"]
-ORACLES["approximate_threshold"] = "SELECT true AS within"
+ORACLES["approximate_threshold"] = f"""WITH {HOTSPOTS},
+    bounds AS (SELECT count(*) AS n_cells, quantile_disc(crime_count, 0.94) AS low, quantile_disc(crime_count, 0.96) AS high,
+                      quantile_disc(crime_count, 0.95) AS exact FROM cells)
+    SELECT n_cells, low, high, exact BETWEEN low AND high AS within FROM bounds"""
+ORACLES["grid_hotspots_approximate"] = f"""WITH {HOTSPOTS}
+    SELECT grid_x AS hotspot_id_x, grid_y AS hotspot_id_y, crime_count, true AS found FROM cells
+    WHERE crime_count > (SELECT quantile_disc(crime_count, 0.96) FROM cells)"""
 
 # Murmur3 (32 bits, seed 42) of an ASCII text: words of four bytes, then single bytes.
 _MASK = 4294967295

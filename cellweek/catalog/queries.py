@@ -48,7 +48,10 @@ def _projected(cleaned):
 
 
 def clean_row_counts(spark, folder):
-    return clean.row_counts(views.raw_incidents(spark, folder))
+    """The counts that the cleaning write observes, beside those of the written table."""
+    counted = clean.write_counted(views.raw_incidents(spark, folder), clean.clean_incidents, path := scratch_path(spark))
+    stored = io.read_table(spark, path).agg(F.count(F.lit(1)).alias("clean_rows"))
+    return stored.join(counted, "clean_rows").select("raw_rows", "clean_rows")
 
 
 def first_rows(spark, folder):
@@ -125,7 +128,17 @@ def hotspot_combined_id(spark, folder):
 
 
 def grid_hotspots_approximate(spark, folder):
-    return grid.grid_hotspots(views.incidents(spark, folder), relative_error=0.01)
+    """The cells that any threshold within the stated error calls hot, and whether they were found.
+
+    A cell that no such threshold calls hot would come as a row of its own.
+    """
+    rows = views.incidents(spark, folder)
+    counts = grid.cell_counts(grid.assign_cells(rows)).toDF("hotspot_id_x", "hotspot_id_y", "crime_count")
+    found = grid.grid_hotspots(rows, relative_error=0.01).select("hotspot_id_x", "hotspot_id_y", F.lit(True).alias("hot"))
+    marked = counts.join(found, SERIES, "left").withColumn("found", F.coalesce("hot", F.lit(False))).drop("hot")
+    sure = F.col("crime_count") > grid.count_threshold(counts, 0.96)
+    never = F.col("crime_count") <= grid.count_threshold(counts, 0.94)
+    return marked.where(sure | (never & F.col("found")))
 
 
 def grid_hotspot_summary(spark, folder):
@@ -149,19 +162,18 @@ def grid_hotspot_json(spark, folder):
 def hotspot_definitions(spark, folder):
     """The definitions written and read back, as the hotspot list."""
     target = scratch_path(spark)
-    io.write_table(grid.grid_hotspots(views.incidents(spark, folder)), f"{target}/hotspot_definitions")
+    io.publish_table(grid.grid_hotspots(views.incidents(spark, folder)), f"{target}/hotspot_definitions")
     return serve.hotspot_list(spark, target).select("id", "centroid.lat", "centroid.lon", "crime_count")
 
 
 def approximate_threshold(spark, folder):
-    """Whether the rank of the approximate threshold lies within the stated error."""
-    rows = views.incidents(spark, folder)
-    counts = grid.cell_counts(grid.assign_cells(rows))
-    least = grid.grid_hotspots(rows, relative_error=0.01).agg(F.min("crime_count").alias("least"))
-    share = F.count_if(F.col("crime_count") < F.col("least")) / F.count(F.lit(1))
-    # Cells of the smallest hotspot's count or more lie above the threshold; those that tie with
-    # the threshold widen the stated error of 0.01.
-    return counts.join(F.broadcast(least)).agg((F.abs(share - 0.95) <= 0.03).alias("within"))
+    """The exact quantiles one stated error below and above, and whether the approximate one lies between."""
+    counts = grid.cell_counts(grid.assign_cells(views.incidents(spark, folder)))
+    low, high = grid.count_threshold(counts, 0.94), grid.count_threshold(counts, 0.96)
+    return counts.agg(F.count(F.lit(1)).alias("n_cells")).select(
+        "n_cells", low.cast("bigint").alias("low"), high.cast("bigint").alias("high"),
+        grid.count_threshold(counts, relative_error=0.01).between(low, high).alias("within"),
+    )
 
 
 def top_hotspots(spark, folder):
@@ -262,7 +274,7 @@ def forecast_weeks(spark, folder):
 def model_lookup(spark, folder):
     """One model out of the stored table, found by the pair of its cell indexes."""
     path = scratch_path(spark)
-    io.write_models(seasonal.fit_seasonal(_series(spark, folder), SERIES, SEASON_GRID), path, SERIES)
+    io.publish_models(seasonal.fit_seasonal(_series(spark, folder), SERIES, SEASON_GRID), path, SERIES)
     models = io.read_table(spark, path)
     first = models.agg(F.min(F.struct(*SERIES)).alias("cell")).first()["cell"]
     return io.model_for(models, first[0], first[1]).select(
@@ -362,7 +374,8 @@ def csv_parquet_roundtrip(spark, folder):
         F.col("Date").alias("date_text"),
         F.col("Primary Type").alias("primary_type"),
         F.col("X Coordinate").alias("x"),
-        F.col("Latitude").alias("latitude"),
+        F.when(~F.isnan("Latitude"), F.col("Latitude")).alias("latitude"),
+        F.when(F.col("Latitude").isNotNull(), F.isnan("Latitude")).alias("not_a_number"),
         F.col("Longitude").alias("longitude"),
         F.col("Location").alias("location"),
     )

@@ -46,7 +46,12 @@ def raw_incidents(spark: SparkSession, folder: str) -> DataFrame:
         .when(price < 60000, F.date_format(ts, "M/d/yyyy h:mm:ss a"))
         .otherwise(F.date_format(ts, "MM/dd/yyyy hh:mm:ss a"))
     )
-    lat = F.when(price > 497000, F.lit(None)).when(price > 494000, F.lit(0.0)).otherwise(F.col("lat"))
+    lat = (
+        F.when(price > 497000, F.lit(None))
+        .when(price > 494000, F.lit(0.0))
+        .when(price.between(300000, 310000), F.lit(float("nan")))
+        .otherwise(F.col("lat"))
+    )
     lon = F.when(price.between(490000, 494000), F.lit(0.0)).otherwise(F.col("lon"))
     text = {
         "Case Number": F.concat(F.lit("C"), F.col("o_orderkey").cast("string")),

@@ -1,6 +1,6 @@
 """Cleaning of raw incidents, in the geographic and the projected-coordinate variant."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cellweek.functions.holidays import is_holiday
@@ -33,10 +33,18 @@ def clean_incidents(raw: DataFrame) -> DataFrame:
     return dated.select(*CLEAN_COLUMNS)
 
 
-def row_counts(raw: DataFrame) -> DataFrame:
-    """raw_rows and clean_rows in one row, from one pass; the tests are those of clean_incidents."""
-    usable = (F.col("Latitude") != 0) & (F.col("Longitude") != 0) & parse_timestamp("Date").isNotNull()
-    return raw.agg(F.count(F.lit(1)).alias("raw_rows"), F.count_if(usable).alias("clean_rows"))
+def write_counted(raw: DataFrame, cleaning, path: str) -> DataFrame:
+    """Writes the cleaned rows as Parquet; raw_rows and clean_rows in one row.
+
+    Both counts are observed while the rows pass, so the table is scanned once and no rule is
+    stated twice.
+    """
+    before, after = Observation(), Observation()
+    one = F.count(F.lit(1)).alias("n")
+    cleaning(raw.observe(before, one)).observe(after, one).write.mode("overwrite").parquet(path)
+    # The plan of an empty input can lose its observations.
+    counts = [(o.get or {}).get("n", 0) for o in (before, after)]
+    return raw.sparkSession.createDataFrame([tuple(counts)], "raw_rows long, clean_rows long")
 
 
 def clean_projected(raw: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Grid hotspots: fixed-size cells whose incident count lies above a quantile."""
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +28,12 @@ def count_threshold(counts: DataFrame, q: float = HOT_QUANTILE, relative_error:
 
     Exact by default: a scalar subquery of percentile_disc. Its state holds one entry per
     *distinct* count, and n incidents have fewer than sqrt(2n) distinct counts, so it stays
-    small. With a relative error the DataFrame's approximate quantile is used instead.
+    small. With a relative error the quantile comes from a mergeable sketch: every task leaves
+    one, and the rank of the result is off by at most relative_error times the number of cells.
     """
     if relative_error > 0:
-        found = counts.approxQuantile("crime_count", [q], relative_error)
-        return F.lit(found[0] if found else None).cast("double")
+        sketch = F.percentile_approx("crime_count", F.lit(float(q)), F.lit(math.ceil(1 / relative_error)))
+        return counts.agg(sketch.alias("threshold")).scalar()
     return counts.agg(
         F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY crime_count)").alias("threshold")
     ).scalar()

@@ -23,7 +23,7 @@ from cellweek.schema import (
     MIN_WEEKS_CLUSTER,
     SEASON_CLUSTER,
 )
-from cellweek.sources.incidents import read_incident_csv, read_table, write_csv, write_models, write_table
+from cellweek.sources.incidents import publish_csv, publish_models, publish_table, read_incident_csv, read_table
 from cellweek.sources.scratch import materialize
 
 KEYS = ["hotspot_id"]
@@ -43,7 +43,7 @@ def as_points(rows: DataFrame) -> DataFrame:
 def store_labels(rows: DataFrame, path: str, eps: float = EPS, min_pts: int = MIN_POINTS) -> DataFrame:
     """Writes id, incident_id and cluster of every row, and reads them back."""
     labels = dbscan(as_points(rows), eps, min_pts)
-    write_table(rows.select("id", "incident_id").join(labels, "id"), path)
+    publish_table(rows.select("id", "incident_id").join(labels, "id"), path)
     return read_table(rows.sparkSession, path)
 
 
@@ -60,13 +60,13 @@ def run(
     cleaned = keyed(clean_projected(read_incident_csv(spark, source, lenient=True)))
     labels = store_labels(cleaned, f"{folder}/labels", eps, min_pts).select("id", "cluster")
     labelled = attach_labels(cleaned.select("id", "Date", "Latitude", "Longitude", "is_holiday"), labels)
-    write_table(cluster_report(labelled), f"{folder}/hotspots")
+    publish_table(cluster_report(labelled), f"{folder}/hotspots")
     members = without_noise(labelled).withColumn("hotspot_id", F.col("cluster").cast("bigint"))
     series = weekly_series(members, KEYS, "Date", F.col("is_holiday"))
-    write_table(series, f"{folder}/weekly_series")
+    publish_table(series, f"{folder}/weekly_series")
     series = read_table(spark, f"{folder}/weekly_series")
-    write_models(fit_seasonal(series, KEYS, season, min_weeks), f"{folder}/models", KEYS)
-    write_csv(training_outcomes(read_table(spark, f"{folder}/models"), KEYS), f"{folder}/training_results")
+    publish_models(fit_seasonal(series, KEYS, season, min_weeks), f"{folder}/models", KEYS)
+    publish_csv(training_outcomes(read_table(spark, f"{folder}/models"), KEYS), f"{folder}/training_results")
 
 
 if __name__ == "__main__":

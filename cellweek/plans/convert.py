@@ -8,12 +8,20 @@ import sys
 from pyspark.sql import SparkSession
 
 from cellweek.plans.session import job_session
-from cellweek.sources.incidents import read_incident_csv, write_table
+from cellweek.sources.incidents import read_incident_csv, replace_partitions, write_table
 
 
 def convert(spark: SparkSession, source: str, target: str, partition_by: list[str] | None = None) -> None:
-    """Rewrite incidents as Parquet; partitioning by Year lets later scans skip files."""
-    write_table(read_incident_csv(spark, source), target, partition_by)
+    """Rewrite incidents as Parquet; partitioning by Year lets later scans skip files.
+
+    Partitions that occur in the file are replaced and all others stay, so a table can be renewed
+    year by year. Without partitions the whole table is replaced.
+    """
+    raw = read_incident_csv(spark, source)
+    if partition_by:
+        replace_partitions(raw, target, partition_by)
+    else:
+        write_table(raw, target)
 
 
 if __name__ == "__main__":

@@ -16,7 +16,7 @@ from cellweek.operators.grid import hotspot_summary
 from cellweek.operators.requests import as_json, forecast_reports, request_forecasts, resolve_ids
 from cellweek.plans.session import job_session
 from cellweek.schema import CELL_SIZE, SEASON_CLUSTER, SEASON_GRID
-from cellweek.sources.incidents import models_with_id, read_table, write_table
+from cellweek.sources.incidents import models_with_id, publish_table, read_table
 
 
 def hotspot_list(spark: SparkSession, folder: str, size: float = CELL_SIZE) -> DataFrame:
@@ -78,9 +78,9 @@ def run(spark: SparkSession, folder: str, asked: str, target: str, kind: str = "
         "cluster": (cluster_list, ["hotspot_id"], "hotspot_id", SEASON_CLUSTER),
     }[kind]
     reports, statuses = answer(spark, folder, read_table(spark, asked), keys, id_column, season)
-    write_table(as_json(listed(spark, folder)), f"{target}/hotspots")
-    write_table(as_json(reports), f"{target}/reports")
-    write_table(statuses, f"{target}/statuses")
+    publish_table(as_json(listed(spark, folder)), f"{target}/hotspots")
+    publish_table(as_json(reports), f"{target}/reports")
+    publish_table(statuses, f"{target}/statuses")
 
 
 if __name__ == "__main__":

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellweek.schema import CORRUPT, INCIDENT_SCHEMA, lenient_schema
+from cellweek.sources.publish import current_path, publish
 
 # Models in one row group of the model table.
 MODEL_ROWS = 10_000
@@ -29,9 +30,16 @@ def read_incident_csv(
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Parquet table. A given schema saves the footer read that inference needs."""
+    """Parquet table or published result. A given schema saves the footer read that inference needs."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    return reader.parquet(current_path(spark, path))
+
+
+def of_years(incidents: DataFrame, first: int | None, last: int | None) -> DataFrame:
+    """The incidents of some years; of a table that is partitioned by Year only those folders are read."""
+    if first is not None:
+        incidents = incidents.where(F.col("Year") >= first)
+    return incidents if last is None else incidents.where(F.col("Year") <= last)
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -42,12 +50,28 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     writer.parquet(path)
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
+    """Replace the partitions that occur in df and leave all others of the table as they are."""
+    even = df.hint("rebalance", *partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    even.partitionBy(*partition_by).parquet(path)
+
+
+def publish_table(df: DataFrame, path: str) -> None:
+    """Replace a Parquet result; readers see the old one until the new one is complete."""
+    publish(df.sparkSession, path, lambda folder: write_table(df, folder))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    """Replace a CSV result with a header row."""
+    """Replace a CSV file set with a header row."""
     df.write.mode("overwrite").csv(path, header=True)
 
 
-def write_models(models: DataFrame, path: str, keys: list[str], ids: tuple = ("hotspot_id_combined",), rows: int = MODEL_ROWS) -> None:
+def publish_csv(df: DataFrame, path: str) -> None:
+    """Replace a CSV result; readers see the old one until the new one is complete."""
+    publish(df.sparkSession, path, lambda folder: write_csv(df, folder))
+
+
+def publish_models(models: DataFrame, path: str, keys: list[str], ids: tuple = ("hotspot_id_combined",), rows: int = MODEL_ROWS) -> None:
     """Replace the model table so that a lookup reads few rows.
 
     Files are ranges of the keys, sorted, in row groups of a bounded number of rows: their
@@ -55,11 +79,11 @@ def write_models(models: DataFrame, path: str, keys: list[str], ids: tuple = ("h
     let the other groups be skipped where the statistics cannot tell.
     """
     blooms = [*keys, *(c for c in ids if c in models.columns)]
-    writer = models.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite")
+    writer = models.repartitionByRange(*keys).sortWithinPartitions(*keys).write
     writer = writer.option("parquet.block.row.count.limit", rows).option("parquet.page.row.count.limit", rows)
     for c in blooms:
         writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true").option(f"parquet.bloom.filter.expected.ndv#{c}", rows)
-    writer.parquet(path)
+    publish(models.sparkSession, path, writer.parquet)
 
 
 def model_for(models: DataFrame, x: int, y: int) -> DataFrame:

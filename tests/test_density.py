@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cellweek.operators import clusters, components, dbscan, density, nearest, ranking
+from cellweek.operators import clusters, components, dbscan, density, nearest, ranking, skew
 
 
 def frame(spark, xy):
@@ -131,6 +131,14 @@ def test_dense_cells_link_only_within_the_radius(spark):
         assert len(set(labels)) == clusters_expected
 
 
+def test_labels_with_salted_joins_and_one_cluster_of_nearly_all_points(spark, monkeypatch):
+    monkeypatch.setattr(skew.lookup_join, "__defaults__", ("inner", 3, False))
+    rng = np.random.default_rng(9)
+    xy = np.concatenate([rng.normal(0, 0.8, (570, 2)), rng.uniform(-30, 30, (30, 2))])
+    labels = check_labels(spark, xy, 0.7, 5)
+    assert np.mean(np.array(labels) == 0) > 0.9
+
+
 def test_no_core_points(spark):
     assert set(check_labels(spark, [(0, 0), (10, 10), (20, 20)], 1.0, 2)) == {-1}
 

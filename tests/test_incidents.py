@@ -108,8 +108,44 @@ def test_salted_join_equals_plain_join(spark):
         plain = facts.join(lookup, ["k"], how)
         salted = skew.lookup_join(facts, lookup, ["k"], how, limit=10)
         assert salted.exceptAll(plain).isEmpty() and plain.exceptAll(salted).isEmpty()
-    slices = {r.k: r._slices for r in skew.hot_keys(facts, ["k"]).collect()}
-    assert slices[7] == 335 and max(v for k, v in slices.items() if k not in (7, None)) <= 2
+    names = {r.h: r.k for r in facts.select("k", F.xxhash64("k").alias("h")).distinct().collect()}
+    hot = skew.hot_keys(facts, ["k"])
+    slices = {names[r._key]: r._slices for r in hot.collect()}
+    assert slices[7] == 335 and None not in slices and max(v for k, v in slices.items() if k != 7) <= 2
+    # One sketch per task crosses the network, and no key does.
+    plan = hot._jdf.queryExecution().executedPlan().toString()
+    assert "partial_approx_top_k" in plan and "hashpartitioning" not in plan
+
+
+def test_salted_join_of_keys_in_different_types(spark):
+    facts = spark.range(9_000).select("id", F.when(F.col("id") < 8_000, 7).otherwise(F.col("id") % 90).cast("int").alias("k"))
+    facts = facts.withColumn("d", F.when(F.col("id") % 2 == 0, F.lit(-0.0)).otherwise(F.lit(0.0)))
+    lookup = spark.createDataFrame([(7, 0.0, "a"), (8, 0.0, "b"), (2**40, 0.0, "c")], "k long, d double, v string")
+    salted = skew.salted_join(facts, lookup, ["k", "d"])
+    assert salted.count() == facts.join(lookup, ["k", "d"]).count() > 8_000
+
+
+def test_hot_keys_are_found_among_very_many_keys(spark):
+    n = 400_000
+    facts = spark.range(n).select(F.when(F.col("id") % 400 == 0, F.lit(-1)).when(F.col("id") % 3 == 0, F.lit(-2)).otherwise(F.col("id")).alias("k"))
+    counts = {r.k: r.n for r in facts.where("k < 0").groupBy("k").agg(F.count("*").alias("n")).collect()}
+    names = {r.h: r.k for r in spark.createDataFrame([(-1,), (-2,)], "k long").select("k", F.xxhash64("k").alias("h")).collect()}
+    slices = {names.get(r._key): r._slices for r in skew.hot_keys(facts, ["k"]).collect()}
+    assert set(slices) >= {-1, -2} and len(slices) <= 2 * skew.SLICES
+    assert all(abs(slices[k] - counts[k] * skew.SLICES / n) <= 2 for k in (-1, -2))
+
+
+def test_counts_of_the_cleaning_write(spark, tmp_path):
+    raw = io.read_incident_csv(spark, write_csv(tmp_path, LINES))
+    odd = raw.limit(1).withColumns({"Latitude": F.lit(float("nan")), "Date": F.lit("01/02/2003 01:00:00 AM"), "Longitude": F.lit(1.0)})
+    missing = odd.withColumn("Latitude", F.lit(None).cast("double"))
+    usable = odd.withColumn("Latitude", F.lit(2.0))
+    table = raw.union(odd).union(missing).union(usable)
+    want = clean.clean_incidents(table).count()
+    counted = clean.write_counted(table, clean.clean_incidents, str(tmp_path / "clean")).first()
+    assert tuple(counted) == (raw.count() + 3, want) and io.read_table(spark, str(tmp_path / "clean")).count() == want
+    assert tuple(clean.write_counted(usable.union(odd), clean.clean_incidents, str(tmp_path / "two")).first()) == (2, 1)
+    assert tuple(clean.write_counted(raw.where("ID = -5"), clean.clean_incidents, str(tmp_path / "none")).first()) == (0, 0)
 
 
 def test_small_lookups_are_broadcast_and_large_ones_are_not(spark):
