@@ -53,6 +53,19 @@ def test_ranks_are_global(spark):
     assert list(zip(got.v, got.id)) == sorted(zip(got.v, got.id))
 
 
+def test_ranges_of_a_skewed_column_are_even(spark, monkeypatch):
+    n = 60_000
+    value = F.when(F.col("id") % 5 < 3, 7.0).otherwise(F.exp(F.randn(4) * 3))
+    df = spark.range(n).select("id", value.alias("v"))
+    monkeypatch.setattr(ranking, "RANGE_BYTES", 30_000)
+    ranked = ranking.global_rank(df, ["v", "id"])
+    placed = ranking.ordered_ranges(df, ["v", "id"])
+    sizes = [r["count"] for r in placed.groupBy(F.shiftright("_place", 33)).count().collect()]
+    assert len(sizes) > 8 and max(sizes) <= 2 * min(sizes) and sum(sizes) == n
+    rows = ranked.orderBy("rank").select("rank", "v", "id").collect()
+    assert [r.rank for r in rows] == list(range(n)) and all((a.v, a.id) < (b.v, b.id) for a, b in zip(rows, rows[1:]))
+
+
 @pytest.mark.parametrize("q", [0.0, 0.73, 0.5, 1.0])
 def test_quantiles_are_interpolated(spark, q):
     values = list(np.random.default_rng(5).normal(size=101))
