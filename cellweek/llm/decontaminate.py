@@ -1,17 +1,19 @@
 """Benchmark decontamination by template windows, in DataFrame operations only.
 
 A text becomes a list of template tokens: numbers, capitalised words and units after a number
-are replaced by typed placeholders, other words are lower-cased. Windows of template tokens are
-hashed. Documents look up every STRIDE-th window among all windows of the benchmark; for each
-hit, all windows of the document are compared with the item. Windows on one diagonal (position
-in the document less position in the item) belong to one copy. A copy counts if it shares
-enough windows and its slots are consistent: a value of the item always stands for one value in
-the document. So a question with other names and numbers is found, and a chance likeness of
-placeholders is not.
-
-A shared run of WINDOW + STRIDE - 1 tokens is always looked up. Windows with under MIN_LITERAL
-plain words say too little and are left out. A text of fewer tokens than a window is one shorter
-window. Null and empty texts have none. Rows without doc_id and items without item_id are not
+are replaced by typed placeholders, other words are lower-cased. Windows of WINDOW template
+tokens are hashed, and documents look up all their windows among all windows of the benchmark.
+For the documents with a hit, windows on one diagonal (position in the document less position in
+the item) belong to one copy. A copy counts if it shares enough windows and its slots are
+consistent: a value of the item always stands for one value in the document. So a question with
+other names and numbers is found, and a chance likeness of placeholders is not.
+
+A window with under MIN_LITERAL plain words says too little as a template: any row of numbers
+would fit. It is compared by its words, so an identical row of sums is found. An item shorter
+than a window is one window of its own length and is found anywhere in a text, but an item of
+under MIN_ITEM tokens only as the whole text.
+
+Null and empty texts have no windows. Rows without doc_id and items without item_id are not
 reported; repeated rows are one document, texts of one doc_id are judged apart. Empty tables
 give an empty result. Extra columns are ignored.
 """
@@ -23,8 +25,8 @@ from cellweek.llm.common import is_small, materialize, text_column, without_ids
 from cellweek.operators.skew import lookup_join
 
 WINDOW = 8
-STRIDE = 4
 MIN_LITERAL = 4
+MIN_ITEM = 3
 MIN_WINDOWS = 6
 MIN_CONSISTENT = 0.8
 TOKEN = r"\p{L}+|\p{Nd}+(?:[.,]\p{Nd}+)*"
@@ -56,32 +58,42 @@ def templates(surface: Column) -> Column:
     return F.transform(surface, one)
 
 
-def _starts(template: str, window: int, stride: int) -> Column:
-    n = F.size(template)
-    last = F.greatest(n - window, F.lit(0))
-    return F.when(n > 0, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-
-
 def _literal(window: Column) -> Column:
-    """Plain words of a window, or all of it where it is shorter than the least."""
+    """Plain words of a window."""
     return F.size(F.filter(window, lambda t: ~t.isin(NUMBER, NAME, UNIT)))
 
 
-def _hash(template: str, window: int):
-    return lambda i: F.xxhash64(F.slice(F.col(template), i + 1, window))
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda t: F.xxhash64(t))
+
+
+def _window_hash(hashes: Column, size: Column | int, exact: Column | bool) -> Column:
+    """Hash of a window from the hashes of its words; windows compared by words have hashes of their own."""
+    flag = exact if isinstance(exact, Column) else F.lit(exact)
+    length = size if isinstance(size, Column) else F.lit(size)
+    return F.xxhash64(flag, length, hashes)
 
 
 def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
-    """h, item_id, at, surface: all windows of the benchmark that say enough."""
+    """h, item_id, at, size, exact, item_words: all windows of the benchmark."""
     base = benchmark.where(F.col(item_id).isNotNull()).select(F.col(item_id).alias("item_id"), tokens(text).alias("surface"))
-    base = base.withColumn("template", templates(F.col("surface")))
-    wide = base.select("item_id", "surface", "template", F.explode(_starts("template", window, 1)).alias("at"))
-    cut = F.slice("template", F.col("at") + 1, window)
-    return (
-        wide.where(_literal(cut) >= F.least(F.lit(MIN_LITERAL), F.size(cut)))
-        .select(F.xxhash64(cut).alias("h"), "item_id", "at", F.slice("surface", F.col("at") + 1, window).alias("item_words"))
-        .distinct()
-    )
+    base = base.where(F.size("surface") > 0).withColumn("template", templates(F.col("surface")))
+    size = F.least(F.size("surface"), F.lit(window))
+    wide = base.withColumn("size", size).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("surface") - F.col("size"))))
+    cut = lambda c: F.slice(c, F.col("at") + 1, F.col("size"))
+    wide = wide.select("item_id", "at", "size", cut("surface").alias("item_words"), cut("template").alias("form"))
+    wide = wide.withColumn("exact", _literal(F.col("form")) < F.least(F.lit(MIN_LITERAL), "size"))
+    compared = F.when(F.col("exact"), F.transform("item_words", F.lower)).otherwise(F.col("form"))
+    return wide.select(
+        _window_hash(_hashes(compared), F.col("size"), F.col("exact")).alias("h"), "item_id", "at", "size", "exact", "item_words"
+    ).distinct()
+
+
+def _starts(size: int) -> Column:
+    """Starts of the windows of one size in the array column surface."""
+    n = F.size("surface")
+    fits = n >= size if size >= MIN_ITEM else n == size
+    return F.when(fits, F.sequence(F.lit(0), n - size)).otherwise(F.array().cast("array<int>"))
 
 
 def contaminated(
@@ -92,44 +104,62 @@ def contaminated(
     item_id: str = "item_id",
     item_text: str = "text",
     window: int = WINDOW,
-    stride: int = STRIDE,
     min_windows: int = MIN_WINDOWS,
     min_consistent: float = MIN_CONSISTENT,
 ) -> DataFrame:
     """doc_id, item_id, n_windows, n_slots and consistent for each document that holds an item.
 
-    The figures are those of the copy with most windows (then slots). An item of fewer windows
-    than min_windows must be there with all of them.
+    The figures are those of the copy with most windows (then slots). A copy needs min_windows
+    of the item's windows, or all that are compared as templates where these are fewer.
     """
     items = materialize(item_windows(benchmark, item_id, item_text, window))
+    # The kinds of windows that some item has: at most two for each size up to the window.
+    kinds = sorted((r["size"], r["exact"]) for r in items.select("size", "exact").distinct().collect())
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    look = source.select("doc_id", tokens("text").alias("surface")).select("doc_id", templates(F.col("surface")).alias("template"))
-    hashes = look.select("doc_id", F.explode(F.transform(_starts("template", window, stride), _hash("template", window))).alias("h"))
+
+    def with_hashes(texts: DataFrame) -> DataFrame:
+        """surface, template, lowered words and the hashes of both, t_ of the template and x_ of the words."""
+        cut = texts.withColumn("surface", tokens("text"))
+        cut = cut.withColumns({"template": templates(F.col("surface")), "lowered": F.transform("surface", F.lower)})
+        return cut.withColumns({"t_": _hashes(F.col("template")), "x_": _hashes(F.col("lowered"))})
+
+    def looked_up(size: int, exact: bool) -> Column:
+        hashes = "x_" if exact else "t_"
+        return F.transform(_starts(size), lambda i: _window_hash(F.slice(hashes, i + 1, size), size, exact))
+
+    nothing = F.array().cast("array<bigint>")
+    every_window = F.concat(nothing, *(looked_up(*k) for k in kinds))
+    hashes = with_hashes(source).select("doc_id", F.explode(every_window).alias("h"))
     keys = items.select("h").distinct()
     hits = materialize(lookup_join(hashes, keys, ["h"]).select("doc_id").distinct())
 
     near = source.join(F.broadcast(hits) if is_small(hits) else hits, "doc_id", "left_semi").distinct()
-    near = near.select("doc_id", F.xxhash64("text").alias("copy"), tokens("text").alias("surface"))
-    near = near.withColumn("template", templates(F.col("surface")))
-    placed = near.select("doc_id", "copy", "surface", "template", F.explode(_starts("template", window, 1)).alias("pos"))
-    cut = placed.select(
-        "doc_id",
-        "copy",
-        "pos",
-        F.slice("template", F.col("pos") + 1, window).alias("form"),
-        F.slice("surface", F.col("pos") + 1, window).alias("words"),
-    ).withColumn("h", F.xxhash64("form"))
+    near = with_hashes(near.select("doc_id", F.xxhash64("text").alias("copy"), "text"))
+
+    def placed(size: int, exact: bool) -> Column:
+        form = F.col("lowered" if exact else "template")
+        part = lambda c, i: F.slice(c, i + 1, size)
+        return F.transform(
+            _starts(size),
+            lambda i: F.struct(
+                i.alias("pos"),
+                part(form, i).alias("form"),
+                part(F.col("surface"), i).alias("words"),
+                _window_hash(part(F.col("x_" if exact else "t_"), i), size, exact).alias("h"),
+            ),
+        )
+
+    no_window = F.array().cast("array<struct<pos: int, form: array<string>, words: array<string>, h: bigint>>")
+    cut = near.select("doc_id", "copy", F.explode(F.concat(no_window, *(placed(*k) for k in kinds))).alias("w")).select("doc_id", "copy", "w.*")
     matched = materialize(
         lookup_join(cut, items, ["h"], stored=True).withColumn("diagonal", F.col("pos") - F.col("at"))
     )
 
     copy = ["doc_id", "copy", "item_id", "diagonal"]
-    sizes = items.groupBy("item_id").agg(F.countDistinct("at").alias("n_item"))
-    first_hit = F.max((F.col("pos") % stride == 0).cast("int")).alias("looked_up")
-    runs = matched.groupBy(*copy).agg(F.countDistinct("at").alias("n_windows"), first_hit)
-    runs = runs.join(sizes, "item_id").where(
-        (F.col("n_windows") >= F.least(F.lit(min_windows), "n_item")) & (F.col("looked_up") == 1)
-    )
+    told = F.countDistinct(F.when(~F.col("exact"), F.col("at")))
+    sizes = items.groupBy("item_id").agg(F.when(told > 0, told).otherwise(F.countDistinct("at")).alias("n_item"))
+    runs = matched.groupBy(*copy).agg(F.countDistinct("at").alias("n_windows"))
+    runs = runs.join(sizes, "item_id").where(F.col("n_windows") >= F.least(F.lit(min_windows), "n_item"))
     slots = (
         matched.select(*copy, F.explode(F.arrays_zip("form", "words", "item_words")).alias("s"))
         .where(F.col("s.form").isin(NUMBER, NAME, UNIT))

@@ -1,6 +1,6 @@
 """DuckDB twins of the queries that SQL can express."""
 
-from cellweek.llm.decontaminate import MIN_CONSISTENT, MIN_LITERAL, MIN_WINDOWS, STRIDE, UNITS, WINDOW
+from cellweek.llm.decontaminate import MIN_CONSISTENT, MIN_ITEM, MIN_LITERAL, MIN_WINDOWS, UNITS, WINDOW
 from cellweek.llm.raking import ALPHA, KEEP, ROUNDS, SEED
 
 _LINE_DEDUP = r"""
@@ -71,26 +71,32 @@ def _decontaminate() -> str:
       WHEN s[i][1] <> lower(s[i])[1] AND len(s[i]) > 1 AND s[i][2:] = lower(s[i][2:]) THEN '<name>'
       ELSE lower(s[i]) END)"""
     token = r"\p{L}+|\p{Nd}+(?:[.,]\p{Nd}+)*"
-    windows = f"unnest(range(0, greatest(len(s) - {WINDOW}, 0) + 1))"
+    kinds = ", ".join(f"'{k}'" for k in ("<num>", "<name>", "<unit>"))
     return f"""
 WITH b0 AS (SELECT item_id, regexp_extract_all(coalesce(text, ''), '{token}') AS s FROM benchmark WHERE item_id IS NOT NULL),
-b1 AS (SELECT item_id, s, {template} AS f FROM b0 WHERE len(s) > 0),
-b2 AS (SELECT item_id, s, f, {windows} AS item_pos FROM b1),
-b AS MATERIALIZED (SELECT DISTINCT item_id, item_pos, f[item_pos + 1:item_pos + {WINDOW}] AS form, s[item_pos + 1:item_pos + {WINDOW}] AS words FROM b2
-  WHERE len(list_filter(f[item_pos + 1:item_pos + {WINDOW}], lambda t: t NOT IN ('<num>', '<name>', '<unit>'))) >= least({MIN_LITERAL}, len(f[item_pos + 1:item_pos + {WINDOW}]))),
+b1 AS (SELECT item_id, s, {template} AS f, least(len(s), {WINDOW}) AS size FROM b0 WHERE len(s) > 0),
+b2 AS (SELECT *, unnest(range(0, len(s) - size + 1)) AS item_pos FROM b1),
+b3 AS (SELECT item_id, item_pos, size, f[item_pos + 1:item_pos + size] AS template, s[item_pos + 1:item_pos + size] AS words FROM b2),
+b4 AS (SELECT *, len(list_filter(template, lambda t: t NOT IN ({kinds}))) < least({MIN_LITERAL}, size) AS exact FROM b3),
+b AS MATERIALIZED (SELECT DISTINCT item_id, item_pos, size, exact, words,
+  CASE WHEN exact THEN list_transform(words, lambda t: lower(t)) ELSE template END AS form FROM b4),
 d0 AS (SELECT DISTINCT doc_id, text, regexp_extract_all(coalesce(text, ''), '{token}') AS s FROM documents WHERE doc_id IS NOT NULL),
 d1 AS (SELECT doc_id, text, s, {template} AS f FROM d0 WHERE len(s) > 0),
-d2 AS (SELECT doc_id, text, s, f, {windows} AS pos FROM d1),
-d AS (SELECT doc_id, hash(text) AS copy, pos, f[pos + 1:pos + {WINDOW}] AS form, s[pos + 1:pos + {WINDOW}] AS words FROM d2),
-m AS MATERIALIZED (SELECT doc_id, copy, item_id, pos - item_pos AS diagonal, pos, item_pos, form, d.words AS words, b.words AS item_words FROM d JOIN b USING (form)),
-sizes AS (SELECT item_id, count(DISTINCT item_pos) AS n_item FROM b GROUP BY 1),
-runs AS (SELECT doc_id, copy, item_id, diagonal, count(DISTINCT item_pos) AS n_windows, bool_or(pos % {STRIDE} = 0) AS looked_up FROM m GROUP BY ALL),
+d2 AS (SELECT *, unnest(range(0, len(s) - size + 1)) AS pos FROM d1 JOIN (SELECT DISTINCT size, exact FROM b) k
+  ON len(s) >= size AND (size >= {MIN_ITEM} OR len(s) = size)),
+d AS (SELECT doc_id, hash(text) AS copy, pos, size, exact, s[pos + 1:pos + size] AS words,
+  CASE WHEN exact THEN list_transform(s[pos + 1:pos + size], lambda t: lower(t)) ELSE f[pos + 1:pos + size] END AS form FROM d2),
+m AS MATERIALIZED (SELECT doc_id, copy, item_id, pos - item_pos AS diagonal, pos, item_pos, form, d.words AS words, b.words AS item_words
+  FROM d JOIN b USING (size, exact, form)),
+sizes AS (SELECT item_id, CASE WHEN bool_and(exact) THEN count(DISTINCT item_pos) ELSE count(DISTINCT item_pos) FILTER (WHERE NOT exact) END AS n_item
+  FROM b GROUP BY 1),
+runs AS (SELECT doc_id, copy, item_id, diagonal, count(DISTINCT item_pos) AS n_windows FROM m GROUP BY ALL),
 slots AS (SELECT doc_id, copy, item_id, diagonal, count(*) AS n_slots, count(*) FILTER (WHERE n = 1) AS single FROM (
   SELECT doc_id, copy, item_id, diagonal, form[i] AS kind, item_words[i] AS value, count(DISTINCT words[i]) AS n
   FROM (SELECT *, unnest(range(1, len(form) + 1)) AS i FROM m) WHERE form[i] IN ('<num>', '<name>', '<unit>') GROUP BY ALL) GROUP BY ALL),
 judged AS (SELECT r.*, coalesce(n_slots, 0) AS n_slots, coalesce(single / n_slots, 1.0) AS consistent
   FROM runs r JOIN sizes USING (item_id) LEFT JOIN slots USING (doc_id, copy, item_id, diagonal)
-  WHERE n_windows >= least({MIN_WINDOWS}, n_item) AND looked_up)
+  WHERE n_windows >= least({MIN_WINDOWS}, n_item))
 SELECT doc_id, item_id, n_windows, n_slots::BIGINT AS n_slots, round(consistent, 6) AS consistent FROM judged WHERE consistent >= {MIN_CONSISTENT}
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, n_slots DESC, consistent DESC) = 1
 """

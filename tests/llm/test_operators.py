@@ -219,6 +219,27 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_finds_items_of_all_sizes_at_all_places(spark):
+    words = lambda n, tag: [f"{tag}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n)]
+    items, texts, want = [], [], set()
+    for size in (3, 4, 5, 7, 8, 9, 10, 13, 30):
+        items.append((size, " ".join(words(size, f"item{chr(97 + size % 26)}{chr(97 + size // 26)}"))))
+        for offset in range(8):
+            want.add((len(texts), size))
+            texts.append(" ".join([*words(offset, "before"), items[-1][1], *words(11, "after")]))
+    sums = "12 7 19 30 5 35 8 8 16 41 2 43"
+    items += [(50, sums), (51, "yes no"), (52, "Of 5 km")]
+    want |= {(len(texts), 50), (len(texts) + 2, 51), (len(texts) + 4, 52)}
+    texts += [f"so it goes {sums} and on", "13 8 21 31 6 37 9 9 18 42 3 45", "yes no", "well yes no then", "see Of 5 km here", "see Up 6 km here"]
+    clean = len(texts)
+    texts += [" ".join(words(60, f"clean{chr(97 + i)}")) for i in range(5)]
+    docs = table(spark, texts).select("*", *[F.lit("x").alias(c) for c in ("surface", "template", "h", "item_id")])
+    found = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+    kept = {r.doc_id for r in decontaminate.drop_contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert kept == set(range(len(texts))) - {d for d, _ in want} and set(range(clean, len(texts))) <= kept
+
+
 def brute_forward(model, seq):
     """log10 likelihood as a sum over all paths of a short sequence."""
     total = 0.0
