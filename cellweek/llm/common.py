@@ -60,6 +60,14 @@ def bounded_groups(rows: Iterable, size: Callable, most: int) -> Iterator[list]:
         yield group
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """A column name that differs from all given ones, as Spark compares them."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def add_columns(
     docs: DataFrame, text: str, fields: list[T.StructField], make: Callable[[list[bytes]], list[list]], keep: list[str]
 ) -> DataFrame:
@@ -70,7 +78,7 @@ def add_columns(
     """
     new = {f.name for f in fields}
     names = [c for c in keep if c not in new]
-    source = docs.select(*names, text_column(text).alias("_text"))
+    source = docs.select(*names, text_column(text).alias(free_name(names, "_text")))
     schema = T.StructType([*docs.select(*names).schema.fields, *fields])
     kinds = [T.StructType([f]) for f in fields]
 
@@ -100,4 +108,4 @@ def without_ids(docs: DataFrame, drop: DataFrame, key: str) -> DataFrame:
     return docs.join(hits.select(key), key, "left_anti").select(*docs.columns)
 
 
-__all__ = ["add_columns", "ascii_lower", "bounded_groups", "is_small", "materialize", "read_table", "salted_join", "slices", "text_column", "utf8", "without_ids"]
+__all__ = ["add_columns", "ascii_lower", "bounded_groups", "free_name", "is_small", "materialize", "read_table", "salted_join", "slices", "text_column", "utf8", "without_ids"]

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cellweek.llm.common import add_columns, is_small, materialize, salted_join
+from cellweek.llm.common import add_columns, free_name, is_small, materialize, salted_join
 from cellweek.operators.components import connected_components
+from cellweek.operators.skew import lookup_join
 
 SEED = 42
 # Members of a block that are compared by a join; larger blocks are cut into chunks.
@@ -120,43 +121,61 @@ def close_links(prints: DataFrame, max_bits: int) -> DataFrame:
     return pairs.select(F.col("id").alias("a"), "b").unionAll(wide)
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """doc_id, fingerprint and component_id, the smallest doc_id reachable over close fingerprints."""
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = materialize(fingerprints(source, "text", shingle, ["doc_id"]))
+def grouped(source: DataFrame, keep: list[str], shingle: int, max_bits: int) -> DataFrame:
+    """The kept columns of (doc_id, text, ...) rows with fingerprint, root and component_id.
+
+    Nodes are fingerprints, so rows of one doc_id with different texts stay apart. root names the
+    group of close fingerprints, component_id is the smallest doc_id in it. Stored.
+    """
+    found = materialize(fingerprints(source, "text", shingle, keep))
     prints = materialize(
-        found.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").cast("long").alias("id"))
+        found.where("doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").cast("long").alias("first"))
     )
-    links = materialize(close_links(prints, max_bits))
+    links = materialize(close_links(prints.select(F.col("fingerprint").alias("id"), "fingerprint"), max_bits))
     # Only linked fingerprints take part in the rounds; the others are groups of their own.
     linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    roots = connected_components(linked, links)
-    moved = roots.where("node <> root").select(F.col("node").alias("id"), F.col("root").alias("_root"))
-    members = materialize(prints.join(moved, "id").select("fingerprint", "_root", "id"))
-    firsts = prints.select("fingerprint", "id")
-    table = materialize(firsts.join(members.select("fingerprint", "_root"), "fingerprint", "left").select(
-        "fingerprint", F.coalesce("_root", "id").alias("component_id")
-    ))
+    roots = connected_components(linked, links).select(F.col("node").alias("fingerprint"), "root")
+    members = materialize(prints.join(roots, "fingerprint"))
+    smallest = members.groupBy("root").agg(F.min("first").alias("_first"))
+    named = lookup_join(members, smallest, ["root"]).select("fingerprint", "root", "_first")
+    table = materialize(
+        prints.join(named, "fingerprint", "left").select(
+            "fingerprint", F.coalesce("root", "fingerprint").alias("root"), F.coalesce("_first", "first").alias("component_id")
+        )
+    )
     joined = found.join(F.broadcast(table), "fingerprint", "left") if is_small(table) else salted_join(found, table, ["fingerprint"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return joined.select("doc_id", "fingerprint", own.alias("component_id"))
+    return joined.withColumn("component_id", own)
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """doc_id, fingerprint and component_id, the smallest doc_id reachable over close fingerprints."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return grouped(source, ["doc_id"], shingle, max_bits).select("doc_id", "fingerprint", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """One row of each group, the one with the smallest doc_id; rows without a doc_id stay.
+    """One row of each group, one with the smallest doc_id; rows without a doc_id stay.
 
-    Repeated rows of one doc_id count as copies; of these, one row stays.
+    Rows are told apart by doc_id and text, so texts that share a doc_id are judged by their own
+    groups. Rows repeated in both count as copies, of which one stays.
     """
-    from cellweek.llm.common import without_ids
-
-    found = materialize(groups(docs, doc_id, text, shingle, max_bits))
-    copies = found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    kept = without_ids(docs, materialize(copies), doc_id)
-    ids = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    if ids.limit(1).count() == 0:
-        return kept
-    named = kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id])
-    return named.unionByName(kept.where(F.col(doc_id).isNull()))
+    copy = free_name(docs.columns, "_copy")
+    marked = docs.withColumn(copy, F.xxhash64(text))
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("copy"))
+    found = materialize(grouped(source, ["doc_id", "copy"], shingle, max_bits)).where("doc_id IS NOT NULL")
+    first = found.where("doc_id = component_id")
+    several = materialize(first.groupBy("root").agg(F.min("copy").alias("_kept"), F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    others = lookup_join(first, several, ["root"], stored=True).where("copy <> _kept")
+    late = found.where("doc_id <> component_id")
+    dropped = materialize(
+        late.unionByName(others, allowMissingColumns=True).select(F.col("doc_id").alias(doc_id), F.col("copy").alias(copy)).distinct()
+    )
+    kept = marked.join(F.broadcast(dropped) if is_small(dropped) else dropped, [doc_id, copy], "left_anti")
+    if not several.isEmpty():
+        named = kept.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, copy])
+        kept = named.unionByName(kept.where(F.col(doc_id).isNull()))
+    return kept.select(*docs.columns)
 
 
-__all__ = ["block_masks", "close_links", "drop_near_copies", "fingerprint_of", "fingerprint_text", "fingerprints", "groups", "spanning_links"]
+__all__ = ["block_masks", "close_links", "drop_near_copies", "fingerprint_of", "fingerprint_text", "fingerprints", "grouped", "groups", "spanning_links"]

@@ -106,6 +106,20 @@ def test_near_copies_leave_one_row(spark):
     assert sorted((r.doc_id for r in kept), key=str) == [1, 4, 9, None]
 
 
+def test_texts_that_share_a_doc_id_keep_their_own_groups(spark):
+    a, b, c = (" ".join(f"{tag}{i}" for i in range(60)) for tag in ("alpha", "beta", "gamma"))
+    docs = table(spark, [a, a, b, b], [2, 5, 5, 7])
+    assert sorted((r.doc_id, r.text) for r in simhash.drop_near_copies(docs).collect()) == [(2, a), (5, b)]
+    docs = table(spark, [a, b, b, b, c, None, "", a], [5, 5, 7, 5, 5, 6, 6, None]).withColumns({"_copy": F.lit(1), "_text": F.lit("x")})
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(r for r in rows if r[0] == 5) == [(5, a), (5, b), (5, c)] and (None, a) in rows
+    assert sum(r[0] == 6 for r in rows) == 1 and len(rows) == 5
+    found = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.groups(docs).collect()}
+    assert len(found) == 6 and found[7, next(f for d, f in found if d == 7)] == 5
+
+
 def brute_lines(texts, least):
     key = lambda line: low(line.strip(ASCII_SPACE))
     seen = defaultdict(set)
