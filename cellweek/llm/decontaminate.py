@@ -67,11 +67,39 @@ def _hashes(words: Column) -> Column:
     return F.transform(words, lambda t: F.xxhash64(t))
 
 
-def _window_hash(hashes: Column, size: Column | int, exact: Column | bool) -> Column:
-    """Hash of a window from the hashes of its words; windows compared by words have hashes of their own."""
-    flag = exact if isinstance(exact, Column) else F.lit(exact)
-    length = size if isinstance(size, Column) else F.lit(size)
-    return F.xxhash64(flag, length, hashes)
+def _window_hash(hashes: Column, size: int, exact: bool) -> Column:
+    """Hash of one window from the hashes of its words; windows compared by words have hashes of their own.
+
+    Neighbours are hashed together, then neighbouring pairs, and so on; a last word without a
+    neighbour goes up as it is.
+    """
+    level = [F.get(hashes, i) for i in range(size)]
+    while len(level) > 1:
+        level = [F.xxhash64(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    return F.xxhash64(F.lit(size), F.lit(exact), level[0]) if exact or size < WINDOW else level[0]
+
+
+def with_spans(words: DataFrame, hashes: str, window: int) -> DataFrame:
+    """Adds the hashes of all spans of 2, 4, ... words up to a window, in columns named after the width.
+
+    Each step hashes all spans of twice the length from two spans of the last step, instead of
+    every window from its words. The last entries of a column reach beyond the text.
+    """
+    width, name = 1, hashes
+    while 2 * width <= window:
+        later = F.slice(name, width + 1, F.greatest(F.size(name) - width, F.lit(0)))
+        words = words.withColumn(f"{hashes}{2 * width}", F.zip_with(name, later, lambda a, b: F.xxhash64(a, b)))
+        width, name = 2 * width, f"{hashes}{2 * width}"
+    return words
+
+
+def _all_window_hashes(hashes: str, size: int, exact: bool) -> Column:
+    """The hashes of all windows of a text in order, from the columns of with_spans where they have the size."""
+    if size & (size - 1):
+        return F.transform(_starts(size), lambda i: _window_hash(F.slice(hashes, i + 1, size), size, exact))
+    spans = F.col(hashes if size == 1 else f"{hashes}{size}")
+    inside = F.slice(spans, F.lit(1), F.size(_starts(size)))
+    return F.transform(inside, lambda h: F.xxhash64(F.lit(size), F.lit(exact), h)) if exact or size < WINDOW else inside
 
 
 def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
@@ -84,9 +112,12 @@ def item_windows(benchmark: DataFrame, item_id: str, text: str, window: int) ->
     wide = wide.select("item_id", "at", "size", cut("surface").alias("item_words"), cut("template").alias("form"))
     wide = wide.withColumn("exact", _literal(F.col("form")) < F.least(F.lit(MIN_LITERAL), "size"))
     compared = F.when(F.col("exact"), F.transform("item_words", F.lower)).otherwise(F.col("form"))
-    return wide.select(
-        _window_hash(_hashes(compared), F.col("size"), F.col("exact")).alias("h"), "item_id", "at", "size", "exact", "item_words"
-    ).distinct()
+    wide = wide.withColumn("hashes", _hashes(compared))
+    kinds = [(n, e) for n in range(1, window + 1) for e in (False, True)]
+    chosen = F.coalesce(
+        *(F.when((F.col("size") == n) & (F.col("exact") == e), _window_hash(F.col("hashes"), n, e)) for n, e in kinds)
+    )
+    return wide.select(chosen.alias("h"), "item_id", "at", "size", "exact", "item_words").distinct()
 
 
 def _starts(size: int) -> Column:
@@ -124,12 +155,12 @@ def contaminated(
         return cut.withColumns({"t_": _hashes(F.col("template")), "x_": _hashes(F.col("lowered"))})
 
     def looked_up(size: int, exact: bool) -> Column:
-        hashes = "x_" if exact else "t_"
-        return F.transform(_starts(size), lambda i: _window_hash(F.slice(hashes, i + 1, size), size, exact))
+        return _all_window_hashes("x_" if exact else "t_", size, exact)
 
     nothing = F.array().cast("array<bigint>")
     every_window = F.concat(nothing, *(looked_up(*k) for k in kinds))
-    hashes = with_hashes(source).select("doc_id", F.explode(every_window).alias("h"))
+    spans = with_spans(with_spans(with_hashes(source), "t_", window), "x_", window)
+    hashes = spans.select("doc_id", F.explode(every_window).alias("h"))
     keys = items.select("h").distinct()
     hits = materialize(lookup_join(hashes, keys, ["h"]).select("doc_id").distinct())
 
