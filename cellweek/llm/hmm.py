@@ -38,7 +38,7 @@ START_TEXTS = 400
 FREQUENT = 150_000
 GATHERED = 300_000
 ADD = 0.1
-# No word holds white space, so this is no word's hash by construction.
+# No word holds white space; a word could share this hash by chance only (one in 2^64).
 END = xxhash.xxh64_intdigest(b"\n") - (1 << 63)
 # Tokens whose state probabilities are in memory at once.
 STEP_TOKENS = 300_000
@@ -242,11 +242,13 @@ def train(encoded: DataFrame, share: np.ndarray, rounds: int = ROUNDS, states: i
     """Baum-Welch over all training rows of the encoded table."""
     spark = encoded.sparkSession
     model = first_model(share, states)
-    rows = encoded.where("NOT held_out").select("row", "classes")
-    # About START_TEXTS rows by a hash, so what reaches the driver does not grow with the tasks.
+    rows = encoded.where("NOT held_out").select("doc_id", "classes")
+    # About START_TEXTS rows by a hash of their content, so neither the file layout nor the number
+    # of tasks changes the choice. Equal rows share a hash; one of each is taken.
     share_of = min(1.0, START_TEXTS / max(1, rows.count()))
-    chosen = rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < int(share_of * (1 << 30)))
-    sample = [bytes(r["classes"]) for r in chosen.orderBy("row").collect()]
+    mark = F.xxhash64("doc_id", "classes")
+    chosen = rows.where(F.pmod(mark, F.lit(1 << 30)) < int(share_of * (1 << 30))).dropDuplicates()
+    sample = [bytes(r["classes"]) for r in chosen.orderBy(mark, "doc_id", "classes").collect()]
     if not sample:
         return model
     for _ in range(START_ROUNDS):
