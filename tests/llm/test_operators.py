@@ -564,6 +564,57 @@ def test_main_text(spark):
     assert html.unescape("&nbsp;").isspace()
 
 
+LONG = "Plain words make a sentence that goes on for a while, and then some more. " * 2
+
+
+@pytest.mark.parametrize(
+    "page, kept",
+    [
+        ('<div id="content" class="content has-sidebar"><p>{0}</p></div>', ["{0}"]),
+        ('<article class="post comments-open"><p>{0}</p></article>', ["{0}"]),
+        ('<article><p>a</p><div class="form-factor">{0}</div></article>', ["a", "{0}"]),
+        ('<article><p class="notice">{0}</p></article>', ["{0}"]),
+        ('<article><p>Let <math><mi>x</mi></math> be<svg/></p><p>b<span aria-hidden="true">icon</span></p></article>', ["Let x be", "bicon"]),
+        ('<article><p>{0}</p><div class="ad">Buy</div><div class="cookie-notice">We use</div><div class="sidebar-inner"><p>{0}</p></div></article>', ["{0}"]),
+        ('<article><p>{0}</p><div class="notice">Notice box.</div><section id="comments"><p>{0}</p></section><p class="advert">Buy</p></article>', ["{0}"]),
+        ('<article><header><h1>T</h1></header><p>{0}</p><div hidden>no</div></article><header><p>{0}</p></header>', ["T", "{0}"]),
+        ('<ul><li><a>Home</a><li><a>About us here</a><li>Contact<li><a>More</a></ul><div><p>{0}</p></div>', ["{0}"]),
+        ('<article><p title="a > b">one</p><p x=">two</p></article>', ["one", "two"]),
+        ("<article><![CDATA[ <p> ]]><p>one<!-- <p>no --> two</p><SCRIPT>if (a < b) '</p>'</SCRIPT><p>three", ["one two", "three"]),
+    ],
+)
+def test_names_are_evidence_and_no_switch(page, kept):
+    assert html_text.page_text(page.replace("{0}", LONG)) == "\n".join(k.replace("{0}", LONG.strip()) for k in kept)
+
+
+def test_the_cut_changes_labels():
+    page = f"<div><p>{LONG}</p><div>Short one</div><p>{LONG}</p></div><div><div><a>k</a></div><div>Contact us now.</div><div><a>m</a></div></div>"
+    blocks, gain, labels = html_text.page_labels(page)
+    changed = {b.text: keep for b, g, keep in zip(blocks, gain, labels, strict=True) if (g > 0) != keep}
+    assert changed == {"Short one": True, "Contact us now.": False}
+    assert html_text.page_text(page) == f"{LONG.strip()}\nShort one\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, '<a "' * 250_000, "<b>x" * 250_000, "<b>" * 100_000 + "x</b>" * 100_000, "<div>" * 100_000 + "x", "<![CDATA[>" * 100_000,
+     "<li>x" * 100_000, "<p>x</b></p>" * 60_000, "<div><p>short. text</p></div><ul><li><a>k</a></ul>" * 12_000],
+)
+def test_long_pages_take_linear_time(page):
+    html_text.page_text("<p>warm")
+    start = time.time()
+    html_text.page_text(page)
+    assert time.time() - start < 8
+
+
+def test_main_text_of_odd_tables(spark):
+    schema = "page_id long, url string, html string, text string, _text string, N_CHARS int"
+    rows = [(None, None, PAGE, "a", "b", 1), (2, "u", PAGE, None, None, None), (2, "u", PAGE, None, None, None)]
+    got = html_text.extract(spark.createDataFrame(rows, schema)).collect()
+    assert [r.text for r in got] == [html_text.page_text(PAGE)] * 3 and {r._text for r in got} == {"b", None}
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_minimum_cut_is_the_cheapest_labelling():
     rng = np.random.default_rng(12)
     for _ in range(40):
