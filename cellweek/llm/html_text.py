@@ -27,15 +27,17 @@ from pyspark.sql import types as T
 
 from cellweek.llm.common import add_columns
 
+# A tag with closed quotes and no angle bracket within; all others are read piece by piece.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"']*+)([^<>\"']*+(?>(?:\"[^<>\"]*+\"|'[^<>']*+')[^<>\"']*+)*+)>")
 _NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
 _PLAIN = re.compile(r"[^\"'>]*")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
+_RAW_END = {tag: re.compile(f"</{tag}", re.IGNORECASE | re.ASCII) for tag in _RAW}
 _SILENT = {*_RAW, "head", "template", "noscript", "canvas", "select", "button", "audio", "video", "datalist"}
 # Drawings and formulas, whose elements may close themselves.
 _DRAWN = {"svg", "math", "path", "circle", "rect", "line", "g", "use", "title"}
-_ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset",
@@ -124,6 +126,14 @@ def tokens(page: str) -> Iterator[tuple[str, bool, str, str, int]]:
         open_ = page.find("<", at)
         if open_ < 0 or open_ + 1 >= size:
             break
+        simple = _TAG.match(page, open_) if quoted else None
+        if simple:
+            close = simple.end()
+            moved = yield simple[2].lower(), bool(simple[1]), simple[3], page[start:open_], close
+            at = start = close if moved is None else moved
+            if moved is not None:
+                yield "", False, "", "", moved
+            continue
         close, name, first = -1, None, page[open_ + 1]
         if first in "!?":
             if page.startswith("<!--", open_):
@@ -247,7 +257,7 @@ def blocks_of(page: str) -> list[Block]:
     def add(raw: str) -> None:
         nonlocal now
         top = stack[-1]
-        if top.silent or not raw or (now is None and raw.isspace()):
+        if top.silent or (now is None and raw.isspace()):
             return
         if now is None:
             now = Block(top.holder.tag, top.above, top.holder.depth)
@@ -261,13 +271,13 @@ def blocks_of(page: str) -> list[Block]:
 
     def cut(i: int) -> None:
         """Close all elements from the i-th on."""
-        open_.subtract(e.tag for e in stack[i:])
-        del stack[i:]
+        while len(stack) > i:
+            open_[stack.pop().tag] -= 1
 
-    lower = None
     walk = tokens(page)
     for tag, closes, rest, before, at in walk:
-        add(before)
+        if before:
+            add(before)
         if not tag:
             continue
         if closes:
@@ -317,9 +327,8 @@ def blocks_of(page: str) -> list[Block]:
             stack.append(element)
             open_[tag] += 1
         if tag in _RAW and not empty:
-            lower = page.translate(_ASCII_LOWER) if lower is None else lower
-            end = lower.find(f"</{tag}", at)
-            walk.send(len(page) if end < 0 else end)
+            end = _RAW_END[tag].search(page, at)
+            walk.send(end.start() if end else len(page))
     close()
     return blocks
 
