@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweek.llm.common import add_columns, is_small, materialize, salted_join, text_column, utf8
+from cellweek.llm.common import add_columns, free_name, is_small, materialize, salted_join, text_column, utf8
 
 # Bits of the broadcast filter: 8 MB. More repeated lines than it can tell apart only add shuffle.
 TWICE_BITS = 1 << 26
@@ -252,16 +252,17 @@ def _places(docs: DataFrame, doc_id: str, text: str, found: DataFrame, first: bo
 
 
 def _apply_places(docs: DataFrame, text: str, places: DataFrame, fields: list[T.StructField], others: list[str]) -> DataFrame:
-    joined = docs.withColumn("_row", _row_key(docs))
-    joined = salted_join(joined, places, ["_row"], "left")
-    source = joined.select(*others, text_column(text).alias("_text"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    row, gone, body = (free_name(docs.columns, x) for x in ("_row", "_gone", "_text"))
+    joined = docs.withColumn(row, _row_key(docs))
+    joined = salted_join(joined, places.select(F.col("_row").alias(row), F.col("gone").alias(gone)), [row], "left")
+    source = joined.select(*others, text_column(text).alias(body), F.coalesce(gone, F.array().cast("array<int>")).alias(gone))
     schema = T.StructType([*docs.select(*others).schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for raw, gone in zip(utf8(batch.column("_text")), batch.column("gone").to_pylist(), strict=True):
-                drop = set(gone)
+            for raw, away in zip(utf8(batch.column(body)), batch.column(gone).to_pylist(), strict=True):
+                drop = set(away)
                 rows.append(_without(raw, lambda n, key, drop=drop: n in drop))
             made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)] if rows else [pa.array([], t) for t in (pa.string(), pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), *made], names=[*others, *(f.name for f in fields)])

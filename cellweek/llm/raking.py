@@ -1,7 +1,7 @@
 """Mixing sources to target weights: iterative proportional fitting and calibrated sampling.
 
 Token counts are summed per cell of the mixing columns. Raking scales the cells in turn until
-the token shares of every column meet its targets. A document is kept with the probability of
+the token shares of every column meet its targets, given ones or tempered shares. A document is kept with the probability of
 its cell, min(1, c * weight); c is chosen so that the expected tokens meet the budget. A hash of
 the doc_id decides, so a re-run keeps the same documents.
 
@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweek.llm.common import is_small, materialize, salted_join, text_column
+from cellweek.llm.common import free_name, is_small, materialize, salted_join, text_column
 
 ALPHA = 0.7
 KEEP = 0.5
@@ -86,7 +86,9 @@ def _factor_local(tokens: np.ndarray, weight: np.ndarray, budget: float) -> floa
     capped = np.concatenate([[0.0], np.cumsum(t)[:-1]])
     rest = np.cumsum((t * w)[::-1])[::-1]
     c = np.divide(budget - capped, rest, out=np.full(len(t), np.inf), where=rest > 0)
-    fits = np.flatnonzero(c * w <= 1)
+    # Cells without weight at the end have no factor: 0 times infinity fits nothing.
+    with np.errstate(invalid="ignore"):
+        fits = np.flatnonzero(c * w <= 1)
     return float(c[fits[0]]) if len(fits) else float("inf")
 
 
@@ -104,9 +106,31 @@ def _factor_wide(cells: DataFrame, budget: float) -> float:
     return high
 
 
-def cell_probabilities(cells: DataFrame, columns: list[str], alpha: float, keep: float, rounds: int, local: bool | None = None) -> DataFrame:
+def given(cells: DataFrame, column: str, weights: dict[str, float]) -> DataFrame:
+    """value, share: the given weights as shares among the values that hold tokens."""
+    if not all(0 <= w < float("inf") for w in weights.values()):
+        raise ValueError(f"target weights must be finite and not negative: {weights}")
+    wanted = cells.sparkSession.createDataFrame([(v, float(w)) for v, w in weights.items()], "value string, wanted double")
+    held = cells.groupBy(F.col(column).alias("value")).agg(F.sum("tokens").alias("t")).where("t > 0")
+    found = held.join(F.broadcast(wanted), "value", "left").select("value", F.coalesce("wanted", F.lit(0.0)).alias("wanted"))
+    total = found.agg(F.sum("wanted")).first()[0]
+    if total is not None and total <= 0:
+        raise ValueError(f"no text of the input has a value with a target weight: {weights}")
+    return found.select("value", (F.col("wanted") / (total or 1.0)).alias("share"))
+
+
+def cell_probabilities(
+    cells: DataFrame,
+    columns: list[str],
+    alpha: float,
+    keep: float,
+    rounds: int,
+    local: bool | None = None,
+    weights: dict[str, dict[str, float]] | None = None,
+) -> DataFrame:
     """Cells with weight and probability; cells(columns..., tokens) is a stored table."""
-    targets = {c: tempered(cells, c, alpha) for c in columns}
+    weights = weights or {}
+    targets = {c: given(cells, c, weights[c]) if c in weights else tempered(cells, c, alpha) for c in columns}
     if is_small(cells) if local is None else local:
         table = cells.orderBy(*columns).toPandas()
         shares = {c: {r["value"]: r["share"] for r in t.collect()} for c, t in targets.items()}
@@ -139,17 +163,24 @@ def mix(
     keep: float = KEEP,
     rounds: int = ROUNDS,
     local: bool | None = None,
+    targets: dict[str, dict[str, float]] | None = None,
 ) -> DataFrame:
     """The sampled documents with n_tokens, weight and probability.
 
-    columns maps names to the expressions to mix by. The targets of each are its token shares
-    raised to alpha; about keep of all tokens stay.
+    columns maps names to the expressions to mix by. targets maps some of these names to the
+    wished weights of their values (`(none)` for null); a value without a weight gets none, and
+    the weights count in proportion to each other. The targets of other columns are their token
+    shares raised to alpha. About keep of all tokens stay.
     """
-    names = [f"_mix{i}" for i in range(len(columns))]
+    unknown = set(targets or {}) - set(columns)
+    if unknown:
+        raise ValueError(f"targets for columns that are not mixed: {sorted(unknown)}")
+    names = [free_name(docs.columns, f"_mix{i}") for i in range(len(columns))]
+    weights = {n: targets[c] for n, c in zip(names, columns, strict=True) if targets and c in targets}
     made = {n: F.coalesce(c.cast("string"), F.lit(NONE)) for n, c in zip(names, columns.values(), strict=True)}
     source = docs.select(*(c for c in docs.columns if c not in OUTPUTS), *(e.alias(n) for n, e in made.items()), token_count(text).alias("n_tokens"))
     cells = materialize(source.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")))
-    found = cell_probabilities(cells, names, alpha, keep, rounds, local).drop("tokens")
+    found = cell_probabilities(cells, names, alpha, keep, rounds, local, weights).drop("tokens")
     small = is_small(cells)
     joined = source.join(F.broadcast(found), names) if small else salted_join(source, found, names)
     key = F.coalesce(F.col(doc_id).cast("string"), text_column(text))

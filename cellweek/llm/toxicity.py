@@ -127,8 +127,11 @@ def fit_machine(rows: list[list[int]], labels: np.ndarray, places: dict[int, int
 
 
 def learns(doc_id: Column, parts: int = 4, held: int = 2) -> Column:
-    """Whether a row may be learned from: crc32 of its id as text, modulo parts, is not held."""
-    return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % parts != held
+    """Whether a row may be learned from: crc32 of its id as text (null: empty), modulo parts, is not held.
+
+    A row without id has no label, so it is learned from in name only; it is not held out.
+    """
+    return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % parts != held
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = MAX_TRAIN) -> Machine:
