@@ -8,6 +8,8 @@ length of the shared chunks over the length of the smaller set.
 
 Two empty fingerprints have likeness 1, an empty and another one 0. Null texts are empty. The
 order for the next document is descending doc_id, then text; rows without doc_id come last.
+For it the rows are dealt to ranges of this order, split at ids and heads of texts, so neither
+many rows without id nor many rows of one id share a range, unless their texts start alike.
 Repeated rows follow each other. The next document after the last is the first. An empty table
 gives an empty table. Extra columns are ignored.
 """
@@ -17,17 +19,20 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellweek.llm.common import text_column, utf8
+from cellweek.llm.common import materialize, text_column, utf8
 
 LEAST, USUAL, MOST = 12, 32, 128
 STRICT, LOOSE = np.uint32(0xFC000000), np.uint32(0xF0000000)
-# Rows per range of ids, and ranges at most; the ranges' first rows are known to the driver.
-RANGE_ROWS, RANGES = 4000, 4000
+# Rows and bytes of text per range; the driver knows the key of the first row of every range.
+RANGE_ROWS, RANGE_BYTES = 100_000, 64 * 1024 * 1024
+# Bytes of the text in a key, after nine for the id.
+HEAD = 48
 _REACH = 32
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([i]), 77) for i in range(256)], dtype=np.uint32)
 
@@ -81,41 +86,39 @@ def likeness(a: dict[int, int], b: dict[int, int]) -> float:
     return min(1.0, shared / min(sum(a.values()), sum(b.values())))
 
 
-def _ranges(source: DataFrame) -> tuple[list[float], DataFrame]:
-    """Inner bounds of the id ranges, and the source with its range; rows without id are range -1."""
-    rows = source.select("doc_id").where("doc_id IS NOT NULL").count()
-    n = int(min(RANGES, max(1, rows // RANGE_ROWS)))
-    shares = [i / n for i in range(1, n)]
-    bounds = sorted(set(source.approxQuantile("doc_id", shares, 0.2 / n))) if shares else []
-    at = F.size(F.filter(F.lit(bounds), lambda x: x < F.col("doc_id"))) if bounds else F.lit(0)
-    return bounds, source.withColumn("range", F.when(F.col("doc_id").isNull(), -1).otherwise(at))
+def _order_key() -> Column:
+    """Bytes that sort as descending doc_id, rows without id last, then the start of the text."""
+    reverse = F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit((1 << 63) - 1))), 16, "0")
+    place = F.unhex(F.coalesce(F.concat(F.lit("00"), reverse), F.lit("01" + "0" * 16)))
+    return F.concat(place, F.substring(F.encode("text", "UTF-8"), 1, HEAD))
+
+
+def _first_keys(source: DataFrame) -> np.ndarray:
+    """The key of the first row of every range, in order; found from the stored keys."""
+    keys = materialize(source.select(_order_key().alias("key"), F.octet_length("text").alias("size")))
+    rows, size = keys.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    n = max(1, -(-rows // RANGE_ROWS), -(-size // RANGE_BYTES))
+    ranges = keys.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id()).agg(F.min("key").alias("key"))
+    return np.unique(np.array([bytes(r.key) for r in ranges.collect()], dtype=f"S{9 + HEAD}"))
 
 
 def _followed(source: DataFrame) -> tuple[DataFrame, int]:
-    """Rows dealt by range, each range closed by a copy of the row that follows it."""
-    spark = source.sparkSession
-    bounds, dealt = _ranges(source)
-    firsts = dict(dealt.where("range >= 0").groupBy("range").agg(F.max("doc_id")).collect())
-    order = sorted(firsts, reverse=True)
-    lone = dealt.where("range < 0").orderBy("text").limit(1).select(F.lit(None).cast("long").alias("doc_id"), "text")
-    has_lone = bool(lone.select("doc_id").collect())
-    links = [(firsts[b], a) for a, b in zip(order, order[1:], strict=False)]
-    closing = []
-    if has_lone:
-        if order:
-            closing.append(lone.select("doc_id", "text", F.lit(order[-1]).alias("range")))
-            links.append((firsts[order[0]], -1))
-        else:
-            closing.append(lone.select("doc_id", "text", F.lit(-1).alias("range")))
-    elif order:
-        links.append((firsts[order[0]], order[-1]))
-    if links:
-        table = spark.createDataFrame(links, "doc_id long, range int")
-        closing.append(source.join(F.broadcast(table), "doc_id").select("doc_id", "text", "range"))
-    out = dealt.select("doc_id", "text", F.col("range").cast("int"), F.lit(0).alias("copy"))
-    for c in closing:
-        out = out.unionAll(c.select("doc_id", "text", F.col("range").cast("int"), F.lit(1)))
-    return out, len(order) + 1
+    """Rows with their range, each range closed by a copy of the row that follows it."""
+    firsts = _first_keys(source)
+
+    @F.pandas_udf("range int, closes int")
+    def deal(keys: pd.Series) -> pd.DataFrame:
+        held = np.array(keys.tolist(), dtype=firsts.dtype)
+        at = np.searchsorted(firsts, held, "right") - 1
+        # The first rows of a range close the one before; those of the first range the last.
+        closes = np.where(firsts[at] == held, (at - 1) % len(firsts), -1)
+        return pd.DataFrame({"range": at.astype("int32"), "closes": closes.astype("int32")})
+
+    place = lambda name, copy: F.struct(F.col(f"dealt.{name}").alias("range"), F.lit(copy).alias("copy"))
+    own = place("range", 0)
+    places = F.when(F.col("dealt.closes") >= 0, F.array(own, place("closes", 1))).otherwise(F.array(own))
+    dealt = source.withColumn("dealt", deal(_order_key())).select("doc_id", "text", F.inline(places))
+    return dealt, max(1, len(firsts))
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -126,7 +129,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_column(text).alias("text"))
     rows, ranges = _followed(source)
-    dealt = rows.repartition(ranges, "range").sortWithinPartitions("range", "copy", F.desc_nulls_last("doc_id"), "text")
+    dealt = rows.repartitionById(ranges, "range").sortWithinPartitions("range", "copy", F.desc_nulls_last("doc_id"), "text")
 
     def row(now: tuple, after: tuple) -> tuple:
         own, chars, chunks = now[2], now[3], now[4]

@@ -536,6 +536,20 @@ def test_chunk_prints(spark, texts, monkeypatch):
         assert sorted(expected) == sorted((str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.near_edited, r.near_next) for r in got)
 
 
+def test_rows_without_id_and_repeated_ids_are_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(chunk_prints, "RANGE_ROWS", 10)
+    rows = [(None, f"{i * 7919 % 400:03d} text") for i in range(300)] + [(5, f"{i:03d} other") for i in range(200)] + [(-3, "x"), (-(2**63), "y"), (2**63 - 1, "z")]
+    source = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    dealt, n = chunk_prints._followed(source)
+    held = [(r.range, r.copy, r.doc_id, r.text) for r in dealt.collect()]
+    sizes = Counter(r for r, copy, _, _ in held if not copy)
+    assert n > 30 and len(sizes) == n and max(sizes.values()) < 40
+    assert sum(1 for r in held if r[1]) == n
+    order = sorted((r for r in held if not r[1]), key=lambda r: (r[2] is None, -(r[2] or 0), r[3]))
+    assert [r[0] for r in order] == sorted(r[0] for r in order)
+    assert sorted((r[2] is None, r[2] or 0, r[3]) for r in held if not r[1]) == sorted((i is None, i or 0, t) for i, t in rows)
+
+
 def test_chunks_resist_shifts():
     rng = np.random.default_rng(11)
     body = sentence(rng, 3000, 5000).encode()
