@@ -1,9 +1,13 @@
 """Mixing sources to target weights: iterative proportional fitting and calibrated sampling.
 
 Token counts are summed per cell of the mixing columns. Raking scales the cells in turn until
-the token shares of every column meet its targets, given ones or tempered shares. A document is kept with the probability of
-its cell, min(1, c * weight); c is chosen so that the expected tokens meet the budget. A hash of
-the doc_id decides, so a re-run keeps the same documents.
+the token shares of every column meet its targets, given ones or tempered shares. It ends when
+no share is off by more than TOLERANCE of all tokens, after `rounds` sweeps at least. Targets
+that no weights can meet together, such as those of two columns that always agree, end it after
+MOST_ROUNDS with a warning that says how far the shares are off; the last column then meets its
+targets. A document is kept with the probability of its cell, min(1, c * weight); c is chosen so
+that the expected tokens meet the budget. A hash of the doc_id decides, so a re-run keeps the
+same documents.
 
 A null in a mixing column is a value of its own, `(none)`. A row without doc_id is decided by
 its text. Null and empty texts have no tokens: they do not count for the shares and get the
@@ -11,6 +15,8 @@ probability of their cell, or 1 where the cell holds no tokens. Repeated rows ar
 together. An empty table gives an empty table. Columns named like an output are replaced.
 """
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,7 +26,8 @@ from cellweek.llm.common import free_name, is_small, materialize, salted_join, t
 
 ALPHA = 0.7
 KEEP = 0.5
-ROUNDS = 12
+ROUNDS, MOST_ROUNDS = 12, 60
+TOLERANCE = 1e-6
 SEED = 17
 NONE = "(none)"
 OUTPUTS = ("n_tokens", "weight", "probability")
@@ -48,17 +55,33 @@ def tempered(cells: DataFrame, column: str, alpha: float) -> DataFrame:
     return sums.select("value", (F.pow("t", F.lit(alpha)) / total).alias("share"))
 
 
+def _ended(gap: float, done: int, rounds: int) -> bool:
+    """Whether to stop after so many sweeps with shares off by the gap."""
+    if done < rounds:
+        return False
+    if gap <= TOLERANCE:
+        return True
+    if done < max(rounds, MOST_ROUNDS):
+        return False
+    warnings.warn(f"the targets do not fit together: shares are off by {gap:.2g} after {done} rounds", stacklevel=2)
+    return True
+
+
 def _rake_local(cells: pd.DataFrame, targets: dict[str, dict], rounds: int) -> np.ndarray:
     tokens = cells["tokens"].to_numpy(float)
     weight = np.ones(len(cells))
     total = tokens.sum()
     coded = {c: pd.factorize(cells[c]) for c in targets}
-    for _ in range(rounds):
+    gap, done = np.inf, 0
+    while not _ended(gap, done, rounds):
+        gap = 0.0
         for column, shares in targets.items():
             code, values = coded[column]
             mass = np.bincount(code, weight * tokens, len(values)).astype(float)
             wanted = np.array([shares.get(v, 0.0) for v in values]) * total
             weight = weight * np.divide(wanted, mass, out=np.zeros_like(mass), where=mass > 0)[code]
+            gap = max(gap, np.abs(wanted - mass).max(initial=0.0) / max(total, 1.0))
+        done += 1
     return weight
 
 
@@ -66,16 +89,22 @@ def _rake_wide(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) ->
     """The same scaling as joins and sums, for more cells than one task should hold."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     now = cells.withColumn("weight", F.lit(1.0))
-    for _ in range(rounds):
+    gap, done = float("inf"), 0
+    while not _ended(gap, done, rounds):
+        gap = 0.0
         for column, shares in targets.items():
             mass = now.groupBy(column).agg(F.sum(F.col("weight") * F.col("tokens")).alias("_mass"))
+            wanted = F.coalesce("share", F.lit(0.0)) * total
             scale = mass.join(shares.withColumnRenamed("value", column), column, "left").select(
-                column, F.when(F.col("_mass") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("_mass")).otherwise(0.0).alias("_scale")
+                column, F.when(F.col("_mass") > 0, wanted / F.col("_mass")).otherwise(0.0).alias("_scale"), F.abs(wanted - F.col("_mass")).alias("_gap")
             )
             scale = materialize(scale)
+            gap = max(gap, (scale.agg(F.max("_gap")).first()[0] or 0.0) / max(total, 1))
+            scale = scale.drop("_gap")
             joined = now.join(F.broadcast(scale), column) if is_small(scale) else salted_join(now, scale, [column])
             now = joined.withColumn("weight", F.col("weight") * F.col("_scale")).drop("_scale")
         now = materialize(now)
+        done += 1
     return now
 
 
@@ -170,7 +199,7 @@ def mix(
     columns maps names to the expressions to mix by. targets maps some of these names to the
     wished weights of their values (`(none)` for null); a value without a weight gets none, and
     the weights count in proportion to each other. The targets of other columns are their token
-    shares raised to alpha. About keep of all tokens stay.
+    shares raised to alpha. rounds is the least number of sweeps. About keep of all tokens stay.
     """
     unknown = set(targets or {}) - set(columns)
     if unknown:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import warnings
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -110,6 +111,25 @@ def test_mixing_meets_given_targets(spark, local):
             raking.mix(docs, {"source": F.col("source")}, targets=bad, local=local).collect()
 
 
+@pytest.mark.parametrize("local", [True, False])
+def test_mixing_goes_on_until_the_shares_meet(spark, local, monkeypatch):
+    # Halves with little in common: a sweep moves little between them.
+    tokens = {("a", "u"): 5000, ("a", "v"): 300, ("b", "u"): 200, ("b", "v"): 3000}
+    cells = raking.materialize(spark.createDataFrame([(*k, n) for k, n in tokens.items()], "x string, y string, tokens long"))
+    weights = {"x": {"a": 6, "b": 4}, "y": {"u": 55, "v": 45}}
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        rows = raking.cell_probabilities(cells, ["x", "y"], 0.7, 0.4, 1, local=local, weights=weights).collect()
+    mass = lambda f: sum(r.tokens * r.weight for r in rows if f(r)) / 8500
+    assert abs(mass(lambda r: r.x == "a") - 0.6) < 1e-5 and abs(mass(lambda r: r.y == "u") - 0.55) < 1e-5
+    # Columns that always agree cannot have different shares.
+    monkeypatch.setattr(raking, "MOST_ROUNDS", 3)
+    cells = raking.materialize(spark.createDataFrame([("a", "u", 10), ("b", "v", 30)], "x string, y string, tokens long"))
+    with pytest.warns(UserWarning, match="do not fit together"):
+        rows = raking.cell_probabilities(cells, ["x", "y"], 0.7, 0.4, 2, local=local, weights=weights).collect()
+    assert {r.y: round(r.tokens * r.weight / 40, 9) for r in rows} == {"u": 0.55, "v": 0.45}
+
+
 def test_scores_equal_the_sum_over_pairs():
     rng = np.random.default_rng(23)
     machine = toxicity.Machine({}, -0.3, rng.normal(0, 1, 12), rng.normal(0, 0.5, (12, toxicity.FACTORS)))
