@@ -3,11 +3,11 @@
 Token counts are summed per cell of the mixing columns. Raking scales the cells in turn until
 the token shares of every column meet its targets, given ones or tempered shares. It ends when
 no share is off by more than TOLERANCE of all tokens, after `rounds` sweeps at least. Targets
-that no weights can meet together, such as those of two columns that always agree, end it after
-MOST_ROUNDS with a warning that says how far the shares are off; the last column then meets its
-targets. A document is kept with the probability of its cell, min(1, c * weight); c is chosen so
-that the expected tokens meet the budget. A hash of the doc_id decides, so a re-run keeps the
-same documents.
+that no weights can meet together, such as those of two columns that always agree, or only in
+many sweeps, end it after MOST_ROUNDS with a warning that says how far the shares are off; the
+last column then meets its targets. A document is kept with the probability of its cell,
+min(1, c * weight); c is chosen so that the expected tokens meet the budget. A hash of the
+doc_id decides, so a re-run keeps the same documents.
 
 A null in a mixing column is a value of its own, `(none)`. A row without doc_id is decided by
 its text. Null and empty texts have no tokens: they do not count for the shares and get the
@@ -63,7 +63,7 @@ def _ended(gap: float, done: int, rounds: int) -> bool:
         return True
     if done < max(rounds, MOST_ROUNDS):
         return False
-    warnings.warn(f"the targets do not fit together: shares are off by {gap:.2g} after {done} rounds", stacklevel=2)
+    warnings.warn(f"shares are still off by {gap:.2g} after {done} rounds; the targets may not fit together", stacklevel=2)
     return True
 
 
