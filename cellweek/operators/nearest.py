@@ -25,6 +25,9 @@ from cellweek.sources.scratch import materialize
 SPLIT_ABOVE = 256
 
 TILES_PER_TASK = 100
+# Rows that a task gets to sort by query, and pairs of sites that are looked through for them.
+ROWS_PER_TASK = 500_000
+PAIRS_PER_TASK = 1_000_000
 
 QUERY = ["q_i", "q_j", "q_site"]
 
@@ -33,6 +36,16 @@ def _prefixed(df: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in columns])
 
 
+def _by_query(df: DataFrame, most: int, per_task: int, keys: list[str]) -> DataFrame:
+    """The rows, `most` at most, dealt out by query to as many tasks as they need.
+
+    The number is set here, because rows are few and small before they meet the nodes and sites
+    that multiply them: from the bytes at that point Spark would choose a single task.
+    """
+    least = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(least, -(-most // per_task)), *keys)
+
+
 def _prune(frontier: DataFrame, k: int) -> DataFrame:
     """Drop nodes that cannot hold one of the k nearest points of their query box.
 
@@ -54,10 +67,11 @@ def _prune(frontier: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _split_wide(frontier: DataFrame, sites: DataFrame, k: int) -> DataFrame:
+def _split_wide(frontier: DataFrame, sites: DataFrame, size: int, k: int) -> DataFrame:
     """Replace query boxes that kept too many nodes by their sites, and prune those again."""
     wide = F.col("q_site").isNull() & (F.col("_width") > SPLIT_ABOVE)
-    if frontier.where(wide).isEmpty():
+    rows = frontier.where(wide).count()
+    if not rows:
         return frontier
     members = sites.select(
         F.col("slab").alias("q_i"),
@@ -70,14 +84,16 @@ def _split_wide(frontier: DataFrame, sites: DataFrame, k: int) -> DataFrame:
     )
     nodes = [c for c in frontier.columns if c.startswith("r_")]
     single = frontier.where(wide).select("q_i", "q_j", *nodes).join(members, ["q_i", "q_j"])
+    single = _by_query(single, rows * size, ROWS_PER_TASK, QUERY)
     pruned = materialize(_prune(single, k).select(*frontier.columns))
     return frontier.where(~wide).unionByName(pruned)
 
 
-def _leaf_candidates(tiled: DataFrame, extent: list[int], k: int) -> DataFrame:
+def _leaf_candidates(tiled: DataFrame, extent: list[int], size: int, k: int) -> DataFrame:
     """Pairs of query (box or single site) and leaf that may hold one of its k nearest.
 
-    _bound is the squared radius around the query that surely holds k points.
+    _bound is the squared radius around the query that surely holds k points. Every level is
+    stored, so that a task holds the rows of one level only and the next one knows their number.
     """
     leaves = materialize(leaf_nodes(tiled))
     frontier = _prefixed(leaves, "q_", ["i", "j", *BOX]).withColumns(
@@ -99,9 +115,10 @@ def _leaf_candidates(tiled: DataFrame, extent: list[int], k: int) -> DataFrame:
         if nodes_at(extent, level) <= BROADCAST_ROWS:
             children = F.broadcast(children)
         expanded = parents.join(children, ["p_i", "p_j"]).drop("p_i", "p_j")
-        frontier = _prune(expanded, k)
+        expanded = _by_query(expanded, frontier.count() * FANOUT * FANOUT, ROWS_PER_TASK, QUERY)
+        frontier = materialize(_prune(expanded, k))
         if level == 0 or nodes_at(extent, level) > SPLIT_ABOVE:
-            frontier = _split_wide(materialize(frontier), tiled, k)
+            frontier = _split_wide(frontier, tiled, size, k)
     return frontier.select(*QUERY, *["q_" + b for b in BOX], "r_i", "r_j", "_bound")
 
 
@@ -135,8 +152,9 @@ def site_distances(sites: DataFrame, k: int, tile: int | None = None) -> DataFra
 
     Sites with fewer than k points in total have no row.
     """
-    tiled, extent = tile_sites(sites, tile or max(32, k))
-    candidates = _leaf_candidates(tiled, extent, k)
+    size = tile or max(32, k)
+    tiled, extent = tile_sites(sites, size)
+    candidates = _leaf_candidates(tiled, extent, size, k)
     point = {f"s_{n}_{a}": F.col(a) for n in ("min", "max") for a in ("x", "y")}
     members = (
         tiled.withColumns(point)
@@ -162,8 +180,9 @@ def site_distances(sites: DataFrame, k: int, tile: int | None = None) -> DataFra
     )
     # For a single site the distance to its box is the distance to the site itself.
     by_distance = Window.partitionBy("q_site").orderBy("_d2").rangeBetween(Window.unboundedPreceding, 0)
+    pairs = candidates.where(F.col("q_site").isNotNull()).count() * size
     from_sites = (
-        reachable.where(F.col("q_site").isNotNull())
+        _by_query(reachable.where(F.col("q_site").isNotNull()), pairs, PAIRS_PER_TASK, ["q_site"])
         .withColumn("_count", F.sum("n").over(by_distance))
         .where(F.col("_count") >= k)
         .groupBy("q_min_x", "q_min_y")

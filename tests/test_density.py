@@ -35,6 +35,24 @@ def test_k_distance_equals_brute_force_on_skewed_points(spark, monkeypatch, spli
     assert all(got[i] == want[i] for i in range(len(xy)))
 
 
+def test_tasks_of_the_search_hold_few_rows(spark, monkeypatch):
+    seen = []
+
+    def watched(frontier, k, prune=nearest._prune):
+        seen.append([r["count"] for r in frontier.groupBy(F.spark_partition_id()).count().collect()])
+        return prune(frontier, k)
+
+    monkeypatch.setattr(nearest, "_prune", watched)
+    monkeypatch.setattr(nearest, "ROWS_PER_TASK", 2000, raising=False)
+    monkeypatch.setattr(nearest, "PAIRS_PER_TASK", 2000, raising=False)
+    monkeypatch.setattr(nearest, "SPLIT_ABOVE", 8)
+    xy = skewed_points(3000, seed=3)
+    got = {r.id: r.k_dist for r in nearest.k_distance(frame(spark, xy), 8, tile=16).collect()}
+    want = brute_k_distance(xy, 8)
+    assert all(got[i] == want[i] for i in range(len(xy)))
+    assert max(map(sum, seen)) > 20_000 and max(map(max, seen)) <= 4000
+
+
 def test_k_distance_with_too_few_points_is_null(spark):
     got = nearest.k_distance(frame(spark, [(0, 0), (3, 4), (3, 4)]), 3).collect()
     assert {r.id: r.k_dist for r in got} == {0: 5.0, 1: 5.0, 2: 5.0}
