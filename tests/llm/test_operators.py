@@ -510,6 +510,36 @@ def test_model_spans_equal_brute_force(spark, tmp_path):
     assert secret_scan.scan(table(spark, texts[:2])).collect()[0].spans == []
 
 
+def test_fit_takes_every_finding(spark, monkeypatch):
+    rng = np.random.default_rng(19)
+    keys = [*random_keys(rng, 20), "0123456789abcdef" * 200]
+    words = ["".join(rng.choice(["tion", "ing", "er", "and", "the", "ou"], 9)) for _ in range(150)]
+    stored = secret_scan.gathered(table(spark, [*(f'token = "{k}" x' for k in keys), *(f"a {w} b" for w in words), f"a {words[0]} b"]), "doc_id", "text")
+    only_long = secret_scan.gathered(table(spark, [f'token = "{keys[-1]}" x', f"a {words[0]} b", f"a {words[1]} b"]), "doc_id", "text")
+    assert secret_scan.train(only_long) is not None
+
+    monkeypatch.setattr(secret_scan, "PART_ROWS", 30, raising=False)
+    found, counts, size = secret_scan.findings(stored)
+    assert counts == {True: 21, False: len(set(words))}
+    dealt, parts = secret_scan._parts(found, counts, size)
+    rows = dealt.collect()
+    learned = [(known, i) for known, n in counts.items() for i in range(n) if i % 3]
+    assert parts == -(-sum(not known for known, _ in learned) // 30) and {(r.known, r.place) for r in rows} == set(learned)
+    for p in range(parts):
+        mine = [(r.known, r.place) for r in rows if r.part == p]
+        assert len({known for known, _ in mine}) == 2 and len(mine) == len(set(mine))
+    assert sum(not r.known for r in rows) == sum(not known for known, _ in learned)
+
+    net, again = secret_scan.train(stored), secret_scan.train(stored.repartition(7))
+    assert np.array_equal(net.vector(), again.vector()) and net.threshold == again.threshold
+    checked = secret_scan._check_margins(found, net)
+    held = checked.toPandas()
+    assert sorted(held["place"][~held["hidden"]]) == sorted(i for n in counts.values() for i in range(0, n, 3))
+    sides = [held[held["hidden"] == hidden] for hidden in (True, False)]
+    least = min(secret_scan.recall_threshold(m["margin"][m["known"]].to_numpy(), m["margin"][~m["known"]].to_numpy()) for m in sides)
+    assert secret_scan._lowest_margin(checked) == least
+
+
 def test_start_texts_do_not_depend_on_the_layout(spark, texts):
     ids = [None, None, 4, 4, *range(10, len(texts) + 6)]
     docs = table(spark, texts, ids)
