@@ -43,6 +43,8 @@ BEFORE, AFTER = 24, 8
 RECALL = 0.98
 # Rounds of the fit; the least number of steps of a part in a round; findings of a step.
 ROUNDS, STEPS, STEP_ROWS = 5, 100, 64
+# Up to so many findings of a label are one part, drawn at random for all the steps at once.
+SMALL_ROWS = 3000
 # Findings of a label and bytes of codes in a part.
 PART_ROWS, PART_BYTES = 8000, 32 * 1024 * 1024
 # Networks are averaged as whole multiples of this, so the sum does not depend on its order.
@@ -254,18 +256,21 @@ def split_findings(labels: np.ndarray, rng: np.random.Generator) -> tuple[np.nda
     return np.concatenate(learn), np.concatenate(check)
 
 
-def descend(vector: np.ndarray, sides: list[list[bytes]], rng: np.random.Generator, least: int = STEPS) -> np.ndarray:
+def descend(vector: np.ndarray, sides: list[list[bytes]], rng: np.random.Generator, draws: int = 0) -> np.ndarray:
     """Network and AdaGrad sums after balanced steps through the findings: secrets, then others.
 
-    Every finding is taken at least once, those of the rarer label and of short lists again.
+    Every finding is taken at least once, those of the rarer label and of short lists again; or,
+    given a number of steps, findings are drawn anew for each.
     """
     net, sums = Network.of(vector), Network.of(vector[len(vector) // 2 :])
     half = STEP_ROWS // 2
-    steps = max(least, *(-(-len(rows) // half) for rows in sides))
-    drawn = [np.concatenate([rng.permutation(len(rows)) for _ in range(-(-steps * half // len(rows)))]) for rows in sides]
+    steps = draws or max(STEPS, *(-(-len(rows) // half) for rows in sides))
+    if not draws:
+        orders = [np.concatenate([rng.permutation(len(rows)) for _ in range(-(-steps * half // len(rows)))]) for rows in sides]
     truth = np.repeat([1.0, 0.0], half)
     for step in range(steps):
-        part = [rows[i] for rows, order in zip(sides, drawn, strict=True) for i in order[step * half : (step + 1) * half]]
+        taken = [rng.choice(len(rows), half) for rows in sides] if draws else [order[step * half : (step + 1) * half] for order in orders]
+        part = [rows[i] for rows, at in zip(sides, taken, strict=True) for i in at]
         shown = [without_context(r) if rng.random() < 0.5 else r for r in part]
         top, seen = net.pooled([redrawn(r, rng) if t and rng.random() < 0.5 else r for r, t in zip(shown, truth, strict=True)])
         margin = top @ net.out + net.shift
@@ -302,7 +307,7 @@ def calibrate(net: Network, margins: np.ndarray, truth: np.ndarray, counts: np.n
 
 
 def fit_network(rows: list[bytes], labels: np.ndarray, seed: int = 5) -> Network:
-    """The fit of train() on findings in memory, as a single part."""
+    """The fit on few findings: two thirds of each label to learn from, the rest to check with."""
     rng = np.random.default_rng(seed)
     learn, check = split_findings(labels, rng)
     net = Network.of(descend(_start(seed), [[rows[i] for i in learn if labels[i] == side] for side in (1, 0)], rng, ROUNDS * STEPS))
@@ -391,6 +396,9 @@ def train(stored: DataFrame) -> Network | None:
     found, counts, size = findings(stored)
     if len(counts) < 2:
         return None
+    if max(counts.values()) <= SMALL_ROWS and size <= PART_BYTES:
+        rows = found.orderBy(F.desc("known"), "place").select("known", "codes").collect()
+        return fit_network([bytes(r["codes"]) for r in rows], np.array([float(r["known"]) for r in rows]))
     dealt, parts = _parts(found, counts, size)
     vector = _start()
     for number in range(ROUNDS):
