@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellweek.llm.common import add_columns, materialize, text_column, utf8
+from cellweek.llm.common import add_columns, materialize, slices, text_bytes, text_column, utf8
 
 HASH_BITS = 20
 # Bounds of the fit: labelled texts, selected terms, and selected terms used of one text.
@@ -151,10 +151,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Terms()
         for batch in batches:
-            texts = utf8(batch.column(0))
-            digests = [xxhash.xxh64_intdigest(x) >> 1 for x in texts]
-            lists = [sorted(hashed.of_text(x)) for x in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["h", "y", "terms"])
+            for a, b in slices(text_bytes(batch.column(0))):
+                texts = utf8(batch.column(0).slice(a, b - a))
+                digests = [xxhash.xxh64_intdigest(x) >> 1 for x in texts]
+                lists = [sorted(hashed.of_text(x)) for x in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), batch.column(1).slice(a, b - a), pa.array(lists, pa.list_(pa.int32()))], names=["h", "y", "terms"])
 
     sample = materialize(rows.mapInArrow(terms, "h long, y int, terms array<int>"))
     examples = materialize(sample.groupBy("h", "terms").agg(F.max("y").alias("y")))

@@ -13,10 +13,12 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
 from cellweek.llm import (
     chunk_prints,
+    common,
     decontaminate,
     hmm,
     html_text,
@@ -541,6 +543,13 @@ def test_fit_takes_every_finding(spark, monkeypatch):
     assert secret_scan._lowest_margin(checked) == least
 
 
+def test_python_steps_hold_little_text(spark):
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 > 0, F.repeat(F.lit("x"), 1000)).alias("text"))
+    field = T.StructField("held", T.LongType())
+    rows = common.add_columns(docs, "text", [field], lambda texts: [[sum(map(len, texts))] * len(texts)], ["doc_id"]).collect()
+    assert [r.doc_id for r in rows] == list(range(4000)) and max(r.held for r in rows) <= 1024 * 1024
+
+
 def test_start_texts_do_not_depend_on_the_layout(spark, texts):
     ids = [None, None, 4, 4, *range(10, len(texts) + 6)]
     docs = table(spark, texts, ids)
